@@ -4,8 +4,8 @@ Characters are taken apart (NFD), width, kinds of space and invisible characters
 letters are looked at as glyphs: a glyph belongs to every script that has a letter of that look. The scripts of
 all letters of a token are intersected. One script left: the token is spelled in it (a mixed-script look-alike
 if it wasn't). Several left: a whole-script confusable, spelled in the script of most resolved tokens of the
-text, Latin on a tie. None left: really mixed, each letter that two scripts share goes to the script of most of
-the token's other letters. All choices depend on glyphs only, so texts that look alike get the same form. In
+text if those use all its glyphs, else in Latin. None left: really mixed, each letter that two scripts share goes
+to the script of most of the token's other letters. All choices depend on glyphs only, so texts that look alike get the same form. In
 the end accents are composed (NFC).
 
 Case, digits, accents, punctuation, tabs and line breaks stay as they are; every space stays one space. Null
@@ -101,6 +101,7 @@ def consistent(text: str | None) -> str | None:
     found = [_resolve(look[a:z]) for a, z in tokens]
     votes = Counter(next(iter(s)) for s, _ in found if len(s) == 1)
     main = max(votes.items(), key=lambda x: (x[1], x[0] == "Latn", x[0]))[0] if votes else "Latn"
+    used = {ch for (a, z), (s, _) in zip(tokens, found) if s == {main} for ch in look[a:z]} if main != "Latn" else set()
     out, at = [], 0
     for (a, z), (scripts, mixed) in zip(tokens, found):
         if mixed:
@@ -108,7 +109,7 @@ def consistent(text: str | None) -> str | None:
         elif len(scripts) == 1:
             script = next(iter(scripts))
         else:
-            script = main if main in scripts else "Latn"
+            script = main if main in scripts and used.issuperset(look[a:z]) else "Latn"
         out += [look[at:a], _spell(look[a:z], script)]
         at = z
     return unicodedata.normalize("NFC", "".join([*out, look[at:]]))
