@@ -1,0 +1,31 @@
+"""Problem 1: broken pairs."""
+
+from __future__ import annotations
+
+from tidemark.llm.pairs import unknown_calls
+from tidemark.llm.queries import QUERIES
+
+CATALOGUE = [("get", "/repos/{o}/x/"), ("POST", "/repos"), ("GET", None), (None, "/repos/{o}/y")]
+PAIRS = [
+    (1, "How do I list the x of a repo?", "Call GET /repos/abc/x and check the returned status."),
+    (2, "How do I list the x of a repo?", "Call DELETE /repos/abc/x and check the returned status."),
+    (3, "How do I list the y of a repo?", "Call GET /repos/abc/y and check the returned status."),
+    (4, "How do I list the x of a repo?", None),
+    (5, "How do I list the x of a repo?", "How do I list the x of a repo?"),
+    (6, "How do I list the x of a repo?", "Call GET /repos/abc/x and check the"),
+]
+
+
+def test_calls_are_looked_up_by_segments(spark):
+    """The slashes around a template were trimmed off the wrong argument: no template had its segments."""
+    calls = spark.createDataFrame([("GET", "repos/abc/x"), ("GET", "repos/abc/z"), ("POST", "repos"), ("GET", "repos")], "method string, path string")
+    catalogue = spark.createDataFrame(CATALOGUE, "method string, path string")
+    assert sorted(map(tuple, unknown_calls(calls, catalogue).collect())) == [("GET", "repos"), ("GET", "repos/abc/z")]
+
+
+def test_p1_found(spark, tmp_path):
+    spark.createDataFrame(PAIRS, "record_id bigint, pergunta string, resposta string").write.parquet(f"{tmp_path}/llm_records.parquet")
+    spark.createDataFrame(CATALOGUE, "method string, path string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    found = QUERIES["p1_found"](spark, str(tmp_path))
+    assert found.columns == ["record_id", "defect"]
+    assert {r.record_id: r.defect for r in found.collect()} == {2: "invented", 3: "invented", 4: "empty", 5: "copied", 6: "truncated"}

@@ -358,7 +358,7 @@ def finished_lines(base: DataFrame) -> DataFrame:
 def unknown_calls(calls: DataFrame, catalogue: DataFrame, method: str = "method", path: str = "path") -> DataFrame:
     """(method, path), distinct, of the calls that no template of the catalogue fits."""
     asked = calls.select("method", "path").distinct().withColumn("segments", F.split("path", "/"))
-    templates = catalogue.select(F.upper(method).alias("method"), F.split(F.trim(F.lit("/"), F.col(path)), "/").alias("segments")).where("method is not null and segments is not null").distinct()
+    templates = catalogue.select(F.upper(method).alias("method"), F.split(F.trim(F.col(path), F.lit("/")), "/").alias("segments")).where("method is not null and segments is not null").distinct()
     is_slot = lambda s: s.startswith("{") & s.endswith("}")
     slots = F.transform("segments", is_slot)
     templates = templates.select("method", F.size("segments").alias("size"), slots.alias("slots"), F.array_join(F.transform("segments", lambda s: F.when(is_slot(s), "{}").otherwise(s)), "/").alias("key")).distinct()

@@ -12,6 +12,7 @@ from .distinct import distinctive_terms, record_text
 from .leak import leaks
 from .lookalike import lookalike_pairs, with_form
 from .mix import mix
+from .pairs import broken_pairs
 from .split import split_column
 from .terms import term_counts
 from .topn import top_n_per_group
@@ -19,6 +20,11 @@ from .topn import top_n_per_group
 LEAK_WORDS = 12
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = broken_pairs(table(spark, d, "llm_records"), "record_id", "pergunta", "resposta", table(spark, d, "raw_documents"))
+    return found.withColumnRenamed("record", "record_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_column(table(spark, d, "raw_documents"), "doc_pos", "text")
     cut = F.when(F.max("long_run"), "forced").otherwise("boundary").alias("cut")
