@@ -1,0 +1,27 @@
+"""Problem 5: markup residue."""
+
+from __future__ import annotations
+
+from tidemark.llm.queries import QUERIES
+
+ROWS = [
+    (1, "<p>Kept from an <b>earlier</b> edition.</p>", "The limit holds while a < b and c > d."),
+    (2, None, "## Limits\n\n- one\n- two\n\n```\nGET /x\n```"),
+    (3, "Paths such as {owner} or *.md are matched as text.", "\\section{Limits} The value follows $x^2$."),
+    (4, "", "See [[Guide|the guide]] of '''sites'''."),
+]
+FOUND = {(1, "description"), (2, "text"), (3, "text"), (4, "text")}
+
+
+def test_p5(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_pos bigint, description string, text string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    found = QUERIES["p5_found"](spark, str(tmp_path))
+    assert found.columns == ["doc_pos", "field"]
+    assert sorted(map(tuple, found.collect())) == sorted(FOUND)
+    clean = {(r.doc_pos, r.field): r.clean for r in QUERIES["p5_clean"](spark, str(tmp_path)).collect()}
+    assert len(clean) == 2 * len(ROWS)
+    assert clean[1, "description"] == "Kept from an earlier edition."
+    assert clean[2, "text"] == "Limits\n\n• one\n• two\n\n    GET /x"
+    assert clean[4, "text"] == "See the guide of sites."
+    kept = {(k, f): v for k, *values in ROWS for f, v in zip(("description", "text"), values) if (k, f) not in FOUND}
+    assert {k: clean[k] for k in kept} == kept

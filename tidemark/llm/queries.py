@@ -11,6 +11,7 @@ from ..session import table
 from .distinct import distinctive_terms, record_text
 from .leak import leaks
 from .lookalike import lookalike_pairs, with_form
+from .markup import clean_markup
 from .mix import mix
 from .pairs import broken_pairs
 from .split import split_column
@@ -53,6 +54,19 @@ def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("grp").alias("query_text"), "rank", F.col("item").alias("id"), "score", F.col("len").alias("len"))
 
 
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(table(spark, d, "raw_documents"), "doc_pos", ["description", "text"]).withColumnRenamed("key", "doc_pos")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).where("pieces > 0").select("doc_pos", "field")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of both fields of every row, with the kinds of its blocks and the notations found."""
+    return _cleaned(spark, d)
+
+
 def _distinct(spark: SparkSession, d: str, **bounds: int) -> DataFrame:
     text = record_text("summary", "path", "description", "params")
     return distinctive_terms(table(spark, d, "raw_documents"), "doc_pos", text, **bounds)
