@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
+
+from tidemark.llm import pairs
 from tidemark.llm.pairs import unknown_calls
 from tidemark.llm.queries import QUERIES
 
@@ -29,3 +34,36 @@ def test_p1_found(spark, tmp_path):
     found = QUERIES["p1_found"](spark, str(tmp_path))
     assert found.columns == ["record_id", "defect"]
     assert {r.record_id: r.defect for r in found.collect()} == {2: "invented", 3: "invented", 4: "empty", 5: "copied", 6: "truncated"}
+
+
+def _components(links, texts):
+    of = {t: {t} for t in texts}
+    for a, b in links:
+        both = of[a] | of[b]
+        of.update(dict.fromkeys(both, both))
+    return {frozenset(x) for x in of.values()}
+
+
+def _linked(rows, size=7):
+    schema = pa.schema([("bucket", pa.int64()), ("opening", pa.string()), ("shingles", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist([{"bucket": k, "opening": t, "shingles": sorted(s)} for k, t, s in rows[i : i + size]], schema=schema) for i in range(0, len(rows), size)]
+    return [(x["a"], x["b"]) for b in pairs._link(iter(batches)) for x in b.to_pylist()]
+
+
+def test_followers_of_different_leaders_are_linked():
+    """Only leaders were compared: c and d, which are similar, followed a and b, which aren't."""
+    rows = [(1, t, set(range(k, k + 100))) for t, k in (("a", 0), ("b", 30), ("c", 10), ("d", 20))]
+    assert _components(_linked(rows), "abcd") == {frozenset("abcd")}
+
+
+def test_links_join_what_all_pairs_join():
+    rng = random.Random(3)
+    rows = []
+    for bucket in range(20):
+        start = [rng.randrange(60) for _ in range(3)]
+        for i in range(30):
+            own = set(range(k := rng.choice(start) + rng.randrange(12), k + 20 + rng.randrange(12))) - {rng.randrange(90)}
+            rows.append((bucket, f"{bucket}-{i:02}", {x * 7919 % 1009 for x in own}))
+    every = [(t, u) for k, t, a in rows for q, u, b in rows if k == q and t < u and len(a & b) >= pairs.SIMILAR * len(a | b)]
+    texts = [t for _, t, _ in rows]
+    assert _components(_linked(rows), texts) == _components(every, texts)

@@ -4,7 +4,8 @@ One pass in Python reads each pair and notes what the pair alone shows: no conte
 ends, the language of its prose, the calls it writes, and its opening (first sentence that is more than a
 courtesy; calls, numbers and words of the prompt masked). The rest needs the collection:
 
-* Openings are clustered by verified MinHash (shingles of five words, similarity 0.8). A template that recurs
+* Openings are clustered by verified MinHash (shingles of five words, similarity 0.8): every pair of openings that
+  shares a bucket and is similar is linked; a pair of just 0.8 shares none in 2 of 10,000 cases. A template that recurs
   across unrelated prompts, hardly ever comes with a call and doesn't say that the catalogue lacks the operation
   is a refusal; a rare opening must say so in words of refusal.
 * A list that ends without a full stop is finished if its last line, calls masked, closes a list elsewhere,
@@ -21,7 +22,9 @@ repeated pairs are reported each for itself; with an empty catalogue every call
 from __future__ import annotations
 
 import html
+import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -278,23 +281,71 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each bucket, links (opening, leader) of verified similarity; rows come ordered by bucket."""
+class _Bucket:
+    """The openings of one bucket, clustered by every verified link between two of them.
+
+    Sets that reach SIMILAR share one of their first shingles in a fixed order (prefix filter), so only openings
+    that do are compared. ``posts`` has them by shingle and cluster; with a cluster that an opening has joined
+    already it isn't compared again, as that would add no link between clusters.
+    """
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.texts: list[str] = []
+        self.sets: list[array] = []
+        self.posts: dict[int, dict[int, list[int]]] = {}
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def by_cluster(self, shingle: int) -> dict[int, list[int]]:
+        posts = self.posts.setdefault(shingle, {})
+        for k in [k for k in posts if self.parent[k] != k]:  # joined to another cluster since
+            posts.setdefault(self.root(k), []).extend(posts.pop(k))
+        return posts
+
+    def add(self, text: str, shingles: list[int]) -> list[tuple[str, str]]:
+        """Its links to the openings before, one for each cluster that it joins."""
+        new, own, links = len(self.texts), set(shingles), []
+        prefix = sorted(own)[: len(own) - math.ceil(SIMILAR * len(own) - 1e-9) + 1]
+        joined, seen = set(), set()
+        for shingle in prefix:
+            for k, members in self.by_cluster(shingle).items():
+                if k in joined:
+                    continue
+                for i in members:
+                    if i not in seen:
+                        seen.add(i)
+                        theirs = self.sets[i]
+                        both = len(own.intersection(theirs))
+                        if both >= SIMILAR * (len(own) + len(theirs) - both):
+                            links.append((text, self.texts[i]))
+                            joined.add(k)
+                            break
+        self.texts.append(text)
+        self.sets.append(array("q", own))
+        self.parent.append(new)
+        cluster = min(joined, default=new)
+        for k in (*joined, new):
+            self.parent[k] = cluster
+        for shingle in prefix:
+            self.posts[shingle].setdefault(cluster, []).append(new)
+        return links
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (opening, opening) of verified similarity that join all openings linked within a bucket; rows come ordered by bucket."""
     schema = pa.schema([("a", pa.string()), ("b", pa.string())])
-    bucket, leaders = None, []
+    bucket, members = None, _Bucket()
     for b in batches:
         links = []
         for k, text, own in zip(*[b.column(c).to_pylist() for c in ("bucket", "opening", "shingles")]):
             if k != bucket:
-                bucket, leaders = k, []
-            own, led = set(own), False
-            for other, theirs in leaders:
-                both = len(own & theirs)
-                if both >= SIMILAR * (len(own) + len(theirs) - both):
-                    links.append((text, other))
-                    led = True
-            if not led:
-                leaders.append((text, own))
+                bucket, members = k, _Bucket()
+            links += members.add(text, own)
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*links)], schema=schema)
 
@@ -331,7 +382,7 @@ def refusal_openings(base: DataFrame, recurring: int = 8) -> DataFrame:
     known = checkpoint(known)
     signed = known.select("opening").mapInArrow(_sign, "opening string, shingles array<bigint>, buckets array<bigint>")
     bucketed = signed.select("opening", "shingles", F.explode("buckets").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "opening")
-    classes = _classes(bucketed.mapInArrow(_lead, "a string, b string"))
+    classes = _classes(bucketed.mapInArrow(_link, "a string, b string"))
     cued = known.join(known.select("opening").mapInArrow(_cues, "opening string, refuses boolean, lacks boolean"), "opening")
     cued = cued.join(classes, "opening", "left").withColumn("class", F.coalesce("class", "opening"))
     share = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) / F.sum("n")
