@@ -67,3 +67,10 @@ def test_links_join_what_all_pairs_join():
     every = [(t, u) for k, t, a in rows for q, u, b in rows if k == q and t < u and len(a & b) >= pairs.SIMILAR * len(a | b)]
     texts = [t for _, t, _ in rows]
     assert _components(_linked(rows), texts) == _components(every, texts)
+
+
+def test_long_answers_without_content_are_empty():
+    """Answers of more than 400 characters were judged by their first 200."""
+    for answer in ("N/A" + "." * 400, "&nbsp;" * 100, "null " + "-" * 500, "<p>" + "&nbsp;" * 100 + "</p>", "." * 500):
+        assert pairs.is_empty(answer)
+    assert not pairs.is_empty("N/A" + "." * 400 + " Call GET /repos.")

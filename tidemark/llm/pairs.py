@@ -92,8 +92,6 @@ def flat(s: str) -> str:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if len(answer) > 400 and any(ch.isalnum() for ch in answer[:200]) and "<" not in answer[:200]:
-        return False
     bare = flat(html.unescape(_TAGS.sub(" ", _UNSEEN.sub("", answer))))
     return not bare or bare in PLACEHOLDERS
 
