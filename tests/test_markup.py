@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.markup import clean
 from tidemark.llm.queries import QUERIES
 
 ROWS = [
@@ -25,3 +26,12 @@ def test_p5(spark, tmp_path):
     assert clean[4, "text"] == "See the guide of sites."
     kept = {(k, f): v for k, *values in ROWS for f, v in zip(("description", "text"), values) if (k, f) not in FOUND}
     assert {k: clean[k] for k in kept} == kept
+
+
+def test_long_inline_formulas():
+    """Inline formulas of more than 300 characters stayed as they were."""
+    body = " + ".join(f"x_{{{i}}}" for i in range(80))
+    for text in (f"The value follows ${body}$ here.", f"The value follows \\({body}\\) here."):
+        assert clean(text)[0] == f"The value follows {body} here."
+    plain = "Plan prices start at $5 " + "and go on " * 50 + "and end at $40 per seat."
+    assert clean(plain) == (plain, [{"kind": "text", "text": plain}], {})

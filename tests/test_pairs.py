@@ -74,3 +74,22 @@ def test_long_answers_without_content_are_empty():
     for answer in ("N/A" + "." * 400, "&nbsp;" * 100, "null " + "-" * 500, "<p>" + "&nbsp;" * 100 + "</p>", "." * 500):
         assert pairs.is_empty(answer)
     assert not pairs.is_empty("N/A" + "." * 400 + " Call GET /repos.")
+
+
+def test_long_curl_commands_are_read_to_their_end():
+    """A command was read for 2,000 characters only."""
+    body = '{"note": "' + "use curl here, " * 300 + '"}'
+    url = "https://api.kelpforge.example"
+    assert pairs.calls_in(f"curl -X POST -d '{body}' {url}/repos/abc") == [("POST", "repos/abc")]
+    assert pairs.calls_in(f"curl -X POST {url}/a -d '{'x' * 3000}'; curl -X PUT {url}/b/curl/c") == [("POST", "a"), ("PUT", "b/curl/c")]
+    assert pairs.calls_in(f"curl {url}/a && curl -X PUT {url}/b") == [("PUT", "b")]
+
+
+def test_copies_of_any_length():
+    """Repetitions were tried up to 40 times the question, introductions up to 60 characters."""
+    q = "How do I list the x of a repo?"
+    assert pairs.is_copy(q, " ".join([q] * 100))
+    assert pairs.is_copy(q, " ".join([q] * 99 + [q.replace("repo", "rpo")]))
+    assert pairs.is_copy(q, f"Thank you for your message, I have read it with care and this is the question you asked me: {q}")
+    assert not pairs.is_copy(q, " ".join([q] * 50) + " Call GET /repos/abc/x and check the returned status.")
+    assert not pairs.is_copy(q, f"Call GET /repos/abc/x and check the returned status, as this is the answer to what you asked: {q}")

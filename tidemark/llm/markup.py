@@ -41,7 +41,7 @@ _PRE = re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre
 _WIKI_CODE = re.compile(r"\{\{code\|(.*?)\}\}", re.S | re.I)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(?:\{[^}]*\})?\n?(.*?)\\end\{\1\}", re.S)
 _MATH_BLOCK = re.compile(r"\$\$(?=\S|\s)(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{(equation|align|gather|math|displaymath)(\*?)\}(.+?)\\end\{\3\4\}|<math\b[^<>]*>(.+?)</math>|\{\{math\|(.+?)\}\}", re.S)
-_MATH_INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]{1,300}?)(?<=[^\s\\$])\$(?![\w$])|\\\((.{1,300}?)\\\)")
+_MATH_INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\$])\$(?![\w$])|\\\((.+?)\\\)")
 _MATH_LIKE = re.compile(r"\\[A-Za-z]{2,}|[_^]\{|[A-Za-z0-9)]\s*[\^_=<>+/*-]\s*[A-Za-z0-9\\({]|^[A-Za-z]$")
 _SCRIPT = re.compile(r"<(script|style)\b[^<>]*>.*?</\1>", re.S | re.I)
 

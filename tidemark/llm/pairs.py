@@ -65,7 +65,8 @@ COURTESY = re.compile(r"^(?:claro|certo|boa pergunta|ótima pergunta|desculpe a
 METHODS = "GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS"
 HOST = r"https?://api\.kelpforge\.example"
 _PLAIN_CALL = re.compile(rf"\b({METHODS})\b[*`]{{0,3}}[ \t]+[*`]{{0,3}}(/[^\s`\"'()*,;|\]]*)", re.I)
-_CURL = re.compile(r"curl\b(?:[^\n\\]|\\\n|\\.){0,2000}")
+_CURL = re.compile(r"curl\b(?:[^\n\\]|\\\n|\\.)*")
+_CURL_START = re.compile(r"(?<![^\s;|&`(\"'$])(?=curl\s)")
 _CURL_METHOD = re.compile(rf"-X\s*[\"']?({METHODS})\b", re.I)
 _CURL_URL = re.compile(rf"{HOST}(/?[^\s`\"')]*)")
 _URL = re.compile(r"https?://\S+")
@@ -117,10 +118,10 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     if len(answer) < len(q) // 2:
         return False
     answer = _UNSEEN.sub("", re.sub(r"^\s*```\w*", "", answer))
-    told = re.match(r"[^:\n]{1,60}:\s*(.+)", answer, re.S)
-    for a in [answer, *([told[1]] if told else [])]:
+    told = re.match(r"([^:\n]+):\s*(.+)", answer, re.S)
+    for a in [answer, *([told[2]] if told and not (len(told[1]) > 60 and calls_in(told[1])) else [])]:
         a = flat(a)
-        for k in range(1, 1 + round((len(a) + 1) / (len(q) + 1)) if len(a) < 40 * len(q) else 1):
+        for k in range(max(1, (len(a) - 4) // (len(q) + 1)), 1 + round((len(a) + 1) / (len(q) + 1))):
             if _near(a, " ".join([q] * k)):
                 return True
     return False
@@ -130,8 +131,12 @@ def calls_in(answer: str) -> list[tuple[str, str]]:
     """(METHOD, path) of every call written in the answer, first occurrence first."""
     found = [(m[1].upper(), m[2]) for m in _PLAIN_CALL.finditer(answer)]
     for c in _CURL.finditer(answer):
-        if (m := _CURL_METHOD.search(c[0])) and (u := _CURL_URL.search(c[0])):
-            found.append((m[1].upper(), u[1]))
+        command = ""
+        for part in _CURL_START.split(c[0]):  # a line may hold several commands, and a body the word
+            command = part if _CURL_METHOD.search(part) and _CURL_URL.search(part) else command + part
+            if (m := _CURL_METHOD.search(command)) and (u := _CURL_URL.search(command)):
+                found.append((m[1].upper(), u[1]))
+                command = ""
     return list(dict.fromkeys((m, re.split(r"[?#]", p)[0].rstrip(".,;:!").strip("/")) for m, p in found))
 
 
