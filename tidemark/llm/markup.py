@@ -6,7 +6,8 @@ names with underscores, regular expressions and raw data stay as they are. Code
 first and are not looked into. Then markup is stripped line by line, and the line-block distribution decides
 what is text: lengths of stripped lines are summed over a sliding window; a surge, where the sum rises over
 the threshold, opens a block and a dive, where it falls back, closes it; lines between are kept, and lines that
-carry structure are kept anyway. What was only markup (table rules, navigation, closing tags) has no length.
+carry structure are kept anyway. What was only markup (table rules, closing tags) has no length. The threshold is 0,
+so every line with text is kept and only blank lines are decided: the method is nominal here (see README.md).
 
 In the clean text a heading is a line of its own, a list item starts with a bullet, code is indented by four
 spaces and a formula is its source without delimiters; ``blocks`` has the same with the kind of each block.
