@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has been counted and holds no more rows than this.
@@ -38,3 +39,18 @@ def rows_within(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted size allows it, else df as it is (shuffle join)."""
     return F.broadcast(df) if rows_within(df, most) else df
+
+
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with the position of every row, from 0, in the order of the given columns.
+
+    Rows are sorted in ranges; a row's number is its place in its range plus the rows of the ranges before, of
+    which there is one count each. No task gets all rows, as with a window over the whole table.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ids count up within a range and have its number in the upper bits; the checkpoint fixes them
+    placed = checkpoint(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
