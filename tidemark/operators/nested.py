@@ -17,7 +17,7 @@ children; repeated records are labelled each for itself.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,41 +32,37 @@ _NODE = pa.schema([("record", pa.int64()), ("pre", pa.int32()), ("post", pa.int3
 _NODE_DDL = "record bigint, pre int, post int, depth int, type string, name string, field_path string, required boolean, description string"
 
 
-class _Walk:
-    """One depth-first traversal; ``rows`` gets (pre, post, depth, type, name, field_path, required, description)."""
+#: A child of a node: its values (depth, type, name, field_path, required, description) and its own children.
+_Child = tuple[tuple, Iterator]
+
+
+class _Spec:
+    """The children of every node of one specification, each level a generator, so no depth of nesting is too deep."""
 
     def __init__(self, spec: dict):
         parts = spec.get("components")
         schemas = parts.get("schemas") if isinstance(parts, dict) else None
         self.schemas = schemas if isinstance(schemas, dict) else {}
-        self.rows: list[list] = []
-        self.pre = self.post = 0
-        for path, item in _members(spec.get("paths")):
-            with_path = self.enter(1, "path", path)
-            for key, operation in _members(item):
-                if key.lower() in METHODS and isinstance(operation, dict):
-                    op = self.enter(2, "operation", key.lower(), None, None, _text(operation.get("summary")))
-                    body = operation.get("requestBody")
-                    if isinstance(body, dict):
-                        own = self.enter(3, "body", "requestBody", None, body.get("required") is True)
-                        for media, content in _members(body.get("content")):
-                            if isinstance(content, dict):
-                                kind = self.enter(4, "media", media)
-                                self.level(content.get("schema"), 5, "", frozenset())
-                                self.leave(kind)
-                        self.leave(own)
-                    self.leave(op)
-            self.leave(with_path)
-
-    def enter(self, depth: int, kind: str, name: str, field_path: str | None = None, required: bool | None = None, description: str | None = None) -> list:
-        row = [self.pre, 0, depth, kind, name, field_path, required, description]
-        self.pre += 1
-        self.rows.append(row)
-        return row
-
-    def leave(self, row: list) -> None:
-        row[1] = self.post
-        self.post += 1
+        self.spec = spec
+
+    def paths(self) -> Iterator[_Child]:
+        for path, item in _members(self.spec.get("paths")):
+            yield (1, "path", path, None, None, None), self.operations(item)
+
+    def operations(self, item: object) -> Iterator[_Child]:
+        for key, operation in _members(item):
+            if key.lower() in METHODS and isinstance(operation, dict):
+                yield (2, "operation", key.lower(), None, None, _text(operation.get("summary"))), self.bodies(operation)
+
+    def bodies(self, operation: dict) -> Iterator[_Child]:
+        body = operation.get("requestBody")
+        if isinstance(body, dict):
+            yield (3, "body", "requestBody", None, body.get("required") is True, None), self.media(body)
+
+    def media(self, body: dict) -> Iterator[_Child]:
+        for media, content in _members(body.get("content")):
+            if isinstance(content, dict):
+                yield (4, "media", media, None, None, None), self.fields(content.get("schema"), 5, "", frozenset())
 
     def target(self, ref: str) -> tuple[str, object] | None:
         if not ref.startswith(_REF):
@@ -76,7 +72,7 @@ class _Walk:
             name = name.replace("~1", "/").replace("~0", "~")
         return (name, self.schemas[name]) if name in self.schemas else None
 
-    def level(self, schema: object, depth: int, prefix: str, open_refs: frozenset[str]) -> None:
+    def fields(self, schema: object, depth: int, prefix: str, open_refs: frozenset[str]) -> Iterator[_Child]:
         """The fields of a schema and of all schemas that add to the same level; each schema once under the same open references."""
         stack, seen = [(schema, open_refs)], set()
         while stack:
@@ -91,12 +87,31 @@ class _Walk:
             required = {x for x in s["required"] if isinstance(x, str)} if isinstance(s.get("required"), list) else set()
             for name, value in _members(s.get("properties")):
                 path = f"{prefix}.{name}" if prefix else name
-                row = self.enter(depth, "field", name, path, name in required, _text(value.get("description")) if isinstance(value, dict) else None)
-                self.level(value, depth + 1, path, refs)
-                self.leave(row)
+                told = _text(value.get("description")) if isinstance(value, dict) else None
+                yield (depth, "field", name, path, name in required, told), self.fields(value, depth + 1, path, refs)
             stack += [(x, refs) for g in reversed(_GROUPS) if isinstance(s.get(g), list) for x in reversed(s[g])]
 
 
+def walk(spec: dict) -> Iterator[list]:
+    """[pre, post, depth, type, name, field_path, required, description] of every node, given out as it is left.
+
+    Only a node and those around it are held at a time.
+    """
+    pre = post = 0
+    open_now: list[tuple[list | None, Iterator]] = [(None, _Spec(spec).paths())]
+    while open_now:
+        row, children = open_now[-1]
+        if (child := next(children, None)) is not None:
+            open_now.append(([pre, 0, *child[0]], child[1]))
+            pre += 1
+            continue
+        open_now.pop()
+        if row is not None:
+            row[1] = post
+            post += 1
+            yield row
+
+
 def _members(x: object) -> list[tuple[str, object]]:
     return list(x.items()) if isinstance(x, dict) else []
 
@@ -105,34 +120,101 @@ def _text(x: object) -> str | None:
     return x if isinstance(x, str) else None
 
 
+def _parse_deep(text: str) -> object:
+    """A JSON value without recursion, for nesting that the library's parser gives up on."""
+    scan, number, blank = json.decoder.scanstring, re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"), re.compile(r"[ \t\n\r]*")
+    words = {"true": True, "false": False, "null": None}
+    root: list = []
+    held: list[tuple] = [(root, None)]  # containers with the key the next value goes to
+    at, state = 0, "value"
+    while True:
+        at = blank.match(text, at).end()
+        ch = text[at : at + 1]
+        into, key = held[-1]
+        if state == "end" and len(held) == 1:
+            if ch:
+                raise ValueError("text after the value")
+            return root[0]
+        if state in ("value", "first") and not (state == "first" and ch == ("}" if isinstance(into, dict) else "]")):
+            if isinstance(into, dict):
+                if ch != '"':
+                    raise ValueError("no key")
+                key, at = scan(text, at + 1)
+                at = blank.match(text, at).end()
+                if text[at : at + 1] != ":":
+                    raise ValueError("no colon")
+                at = blank.match(text, at + 1).end()
+                ch = text[at : at + 1]
+            state = "end"
+            if ch and ch in "{[":
+                value, at, state = ({} if ch == "{" else []), at + 1, "first"
+            elif ch == '"':
+                value, at = scan(text, at + 1)
+            elif (word := next((w for w in words if text.startswith(w, at)), None)) is not None:
+                value, at = words[word], at + len(word)
+            elif (m := number.match(text, at)) is not None:
+                value, at = json.loads(m[0]), m.end()
+            else:
+                raise ValueError("no value")
+            if isinstance(into, dict):
+                into[key] = value
+            else:
+                into.append(value)
+            if state == "first":
+                held.append((value, None))
+        elif ch == "," and state == "end":
+            at, state = at + 1, "value"
+        elif ch == ("}" if isinstance(into, dict) else "]") and len(held) > 1:
+            held.pop()
+            at, state = at + 1, "end"
+        else:
+            raise ValueError("unexpected character")
+
+
 def read_spec(text: str | None) -> dict | None:
-    """The object of a specification, or None if it can't be read as one."""
+    """The object of a specification, or None if it can't be read as one; nesting may be of any depth."""
     if text is None:
         return None
     try:
-        spec = json.loads(text)
-    except (ValueError, RecursionError):
+        try:
+            spec = json.loads(text)
+        except RecursionError:
+            spec = _parse_deep(text)
+    except ValueError:
         return None
     return spec if isinstance(spec, dict) else None
 
 
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    out: list[tuple] = []
-    for b in batches:
-        for record, text in zip(b.column("record").to_pylist(), b.column("text").to_pylist()):
-            if (spec := read_spec(text)) is not None:
-                out += [(record, *r) for r in _Walk(spec).rows]
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _NODE)], schema=_NODE)
-                out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _NODE)], schema=_NODE)
+def _label(kinds: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _NODE)], schema=_NODE)
+            out.clear()
+            return made
 
+        for b in batches:
+            for record, text in zip(b.column("record").to_pylist(), b.column("text").to_pylist()):
+                if (spec := read_spec(text)) is not None:
+                    for row in walk(spec):
+                        if not kinds or row[3] in kinds:
+                            out.append((record, *row))
+                            if len(out) >= 20_000:
+                                yield emit()
+        if out:
+            yield emit()
 
-def label_nodes(df: DataFrame, record: str, text: str) -> DataFrame:
-    """(record, pre, post, depth, type, name, field_path, required, description): all nodes of all records."""
-    return df.select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text")).where("text is not null").mapInArrow(_label, _NODE_DDL)
+    return run
+
+
+def label_nodes(df: DataFrame, record: str, text: str, *kinds: str) -> DataFrame:
+    """(record, pre, post, depth, type, name, field_path, required, description): all nodes of all records.
+
+    With ``kinds`` only nodes of these types come out; labels are the same.
+    """
+    rows = df.select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(_label(frozenset(kinds)), _NODE_DDL)
 
 
 def node_table(nodes: DataFrame, kind: str) -> DataFrame:
@@ -158,5 +240,5 @@ def enclose(nodes: DataFrame, inner: str, *outer: str) -> DataFrame:
 
 def body_fields(df: DataFrame, record: str, text: str) -> DataFrame:
     """(record, path, method, field_path), distinct: the fields of the request bodies of all operations."""
-    fields = enclose(label_nodes(df, record, text), "field", "path", "operation")
+    fields = enclose(label_nodes(df, record, text, "path", "operation", "field"), "field", "path", "operation")
     return fields.select("record", F.col("path.name").alias("path"), F.col("operation.name").alias("method"), "field_path").distinct()
