@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,18 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder the cluster names.
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Names the folder of checkpoints, unless one is set.
 
-    ``spark.checkpoint.dir`` is read from the session; only where neither it nor a checkpoint
-    folder is set (tests on one machine) a temporary folder is made.
+    ``spark.checkpoint.dir`` is read from the session; only where neither it nor a checkpoint folder is set (tests
+    on one machine) a temporary folder is made, and removed when the process ends.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the folder the cluster names."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -54,3 +65,11 @@ def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
     return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder, not made yet, below the checkpoint folder, which all executors share."""
+    sc = spark.sparkContext
+    _checkpoint_folder(spark)
+    base = sc._jsc.sc().getCheckpointDir().get()
+    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
