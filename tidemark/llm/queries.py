@@ -14,7 +14,7 @@ from .lookalike import lookalike_pairs, with_form
 from .markup import clean_markup
 from .mix import mix
 from .pairs import broken_pairs
-from .split import split_column
+from .split import oversized, split_column
 from .terms import term_counts
 from .topn import top_n_per_group
 
@@ -27,14 +27,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_column(table(spark, d, "raw_documents"), "doc_pos", "text")
-    cut = F.when(F.max("long_run"), "forced").otherwise("boundary").alias("cut")
-    return pieces.groupBy(F.col("key").cast("bigint").alias("doc_pos")).agg(cut)
+    found = oversized(table(spark, d, "raw_documents"), "doc_pos", "text")
+    return found.select(F.col("key").cast("bigint").alias("doc_pos"), F.when(F.col("long_run"), "forced").otherwise("boundary").alias("cut"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_column(table(spark, d, "raw_documents"), "doc_pos", "text", small=True)
-    return pieces.withColumn("doc_pos", F.col("key").cast("bigint")).drop("key", "long_run")
+    return pieces.withColumn("doc_pos", F.col("key").cast("bigint")).drop("key", "text_no", "long_run")
+
+
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_pos, digest, within, shared): the digest of each large text put together from its pieces, whether all are within the limit and share 100 characters."""
+    pieces = split_column(table(spark, d, "raw_documents"), "doc_pos", "text")
+    whole = F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", "piece")))
+    rows = pieces.groupBy(F.col("key").cast("bigint").alias("doc_pos")).agg(whole.alias("ps"), F.max(F.char_length("piece")).alias("longest"))
+    text = F.aggregate("ps", F.lit(""), lambda s, p: F.concat(s, p["piece"].substr(F.when(p["piece_no"] == 1, 1).otherwise(101), F.lit(1 << 30))))
+    shared = F.forall(F.transform("ps", lambda p, i: (i == 0) | ((F.get("ps", i - 1)["piece_end"] - p["piece_start"] == 100) & (F.get("ps", i - 1)["piece"].substr(F.lit(-100), F.lit(100)) == F.left(p["piece"], F.lit(100))))), lambda x: x)
+    return rows.select("doc_pos", F.md5(text).alias("digest"), (F.col("longest") <= 2000).alias("within"), shared.alias("shared"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

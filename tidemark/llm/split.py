@@ -1,17 +1,24 @@
-"""Splitting oversized texts at natural boundaries, by ranges with halos.
+"""Splitting oversized texts at natural boundaries, by ranges of bytes with halos.
 
-A text is never held as a whole by one worker: it is cut into ranges, each worker gets one range and a halo of
-text around it. From the halo two neighbours find, each on its own, the same anchor: the best boundary in a
-window at the seam. A worker cuts from its anchor to the next one and emits pieces by offset. Files are read
-by byte ranges (``split_files``); there the lengths of the ranges, in characters, are summed up to give every
-piece its offset. Columns (``split_column``) are cut into ranges of characters, whose offsets are known.
+A text, a file or the UTF-8 bytes of a column's value, is cut into ranges of bytes; a worker gets one range and a
+halo of bytes around it and never the whole. A character belongs to the range its first byte lies in. From the halo
+two neighbours find, each on its own, the same anchor: the best boundary in a window at the seam. A worker cuts from
+its anchor to the next one.
+
+1. Boundary table: each range tells its length in characters, its number of pieces and whether it meets an unbroken
+   stretch longer than a piece.
+2. Stitching: running sums of lengths and numbers over the ranges before give each range its offset in characters and
+   its first piece number. The table has one small row a range, whatever the texts hold.
+3. Pieces are emitted by offset: cut again in their range and placed by the range's row; a join by (text, range),
+   so one giant text is spread over all tasks.
 
 A piece ends, as far as the text allows, after a paragraph, else a line, else a sentence, else a word, and is
-never longer than ``limit``; each piece but the first starts ``overlap`` characters before the end of the one
-before it.
+never longer than ``limit`` characters; each piece but the first starts ``overlap`` characters before the end of the
+one before it.
 
-Defined results: null and empty texts have no pieces; a text of ``limit`` characters or fewer is one piece;
-repeated rows are split each for itself.
+Defined results: null and empty texts have no pieces; a text of ``limit`` characters or fewer is one piece, if small
+ones are asked for; repeated rows, of equal keys too, are split each for itself (``text_no`` tells them apart); bytes
+that are no UTF-8 are read as replacement characters.
 """
 
 from __future__ import annotations
@@ -28,9 +35,12 @@ from pyspark.sql import functions as F
 _KINDS = [re.compile(r"\n[ \t]*\n\s*"), re.compile(r"\r?\n"), re.compile(r"[.!?;:]['\")\]]*[ \t\n\r]+"), re.compile(r"[ \t\n\r]+")]
 #: Characters around a position that decide whether a cut there is natural.
 CONTEXT = 64
-_PIECE = pa.schema([("key", pa.string()), ("range_no", pa.int64()), ("piece_start", pa.int64()), ("piece_end", pa.int64()), ("kind", pa.string()), ("long_run", pa.bool_()), ("range_len", pa.int64()), ("piece", pa.string())])
-_PIECE_DDL = "key string, range_no bigint, piece_start bigint, piece_end bigint, kind string, long_run boolean, range_len bigint, piece string"
 _NAMES = ("paragraph", "line", "sentence", "word")
+_BOUND = pa.schema([("key", pa.string()), ("text_no", pa.int64()), ("range_no", pa.int64()), ("chars", pa.int64()), ("pieces", pa.int64()), ("long_run", pa.bool_()), ("forced", pa.int64())])
+_BOUND_DDL = "key string, text_no bigint, range_no bigint, chars bigint, pieces bigint, long_run boolean, forced bigint"
+_PIECE = pa.schema([("key", pa.string()), ("text_no", pa.int64()), ("range_no", pa.int64()), ("place", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("kind", pa.string()), ("piece", pa.string())])
+_PIECE_DDL = "key string, text_no bigint, range_no bigint, place bigint, low bigint, high bigint, kind string, piece string"
+_RANGE = ("key", "text_no", "range_no", "size", "low", "raw")
 
 
 def _best(text: str, low: int, high: int) -> tuple[int, str]:
@@ -64,28 +74,70 @@ def cut(text: str, begin: int, end: int, limit: int, overlap: int, first: bool)
     return out
 
 
-def _work(text: str, base: int, begin: int, end: int, total: int, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], bool]:
-    """Pieces of one range. ``text`` starts at ``base``; begin, end and total are offsets in the whole."""
-    room = (limit - overlap) // 2
-    own = 0 if begin == 0 else _anchor(text, begin - base, room)
-    nxt = total - base if end >= total else _anchor(text, end - base, room)
-    run = re.search(rf"[^ \t\n\r]{{{limit + 1}}}", text) is not None
-    return [(a + base, b + base, k) for a, b, k in cut(text, own, nxt, limit, overlap, begin == 0)], run
+def halo(limit: int) -> int:
+    """Bytes a worker sees on either side of its range: two pieces and the context of a cut, at four bytes a character."""
+    return 4 * (2 * limit + CONTEXT)
+
+
+def _first_of(raw: bytes, at: int) -> int:
+    """The first byte at or after ``at`` that begins a character."""
+    return next((i for i in range(at, min(at + 4, len(raw))) if raw[i] & 0xC0 != 0x80), min(at, len(raw)))
+
+
+def cut_range(raw: bytes, low: int, begin: int, end: int, size: int, limit: int, overlap: int) -> tuple[str, int, int, list[tuple[int, int, str]], bool]:
+    """(text, own, chars, pieces, long_run) of bytes begin to end of a text of ``size`` bytes; raw starts at byte low.
+
+    ``own`` is where the range begins in the decoded text, ``chars`` its length; pieces are offsets in that text.
+    """
+    start, a = _first_of(raw, 0) if low else 0, _first_of(raw, begin - low) if begin else 0
+    z = _first_of(raw, end - low) if end < size else len(raw)
+    stop = len(raw)
+    if low + len(raw) < size:  # the halo may end inside a character
+        while stop > z and raw[stop - 1] & 0xC0 == 0x80:
+            stop -= 1
+        if stop > z and raw[stop - 1] & 0xC0 == 0xC0:
+            stop -= 1
+    before, mine, after = (raw[x:y].decode("utf-8", "replace") for x, y in ((start, a), (a, z), (z, stop)))
+    text, own, room = before + mine + after, len(before), (limit - overlap) // 2
+    first = own if begin == 0 else _anchor(text, own, room)
+    following = len(text) if end >= size else _anchor(text, own + len(mine), room)
+    long_run = re.search(rf"[^ \t\n\r]{{{limit + 1}}}", text) is not None
+    return text, own, len(mine), cut(text, first, following, limit, overlap, begin == 0), long_run
+
+
+def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _pieces(limit: int, overlap: int, chars: int):
+def _bytes(path: str, low: int, high: int) -> bytes:
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_input_file(where) as f:
+        return f.read_at(high - low, low)
+
+
+def _scan(limit: int, overlap: int, range_bytes: int, pieces: bool):
+    """The boundary table of ranges, or their pieces; a range comes with its bytes or with the path of its file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _PIECE if pieces else _BOUND
         for b in batches:
-            out = []
-            for key, no, base, total, text in zip(*[b.column(c).to_pylist() for c in ("key", "range_no", "base", "total", "slice")]):
-                begin, end = no * chars, min((no + 1) * chars, total)
-                pieces, long_run = _work(text, base, begin, end, total, limit, overlap)
-                out += [(key, no, a, z, kind, long_run, end - begin, text[a - base : z - base]) for a, z, kind in pieces]
-                if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
-                    out = []
+            out: list[tuple] = []
+            for key, text_no, no, size, low, raw in zip(*[b.column(c).to_pylist() for c in _RANGE]):
+                begin, end = no * range_bytes, min((no + 1) * range_bytes, size)
+                raw = raw if isinstance(raw, bytes) else _bytes(key, low, min(size, end + halo(limit)))
+                text, own, chars, found, long_run = cut_range(raw, low, begin, end, size, limit, overlap)
+                if not pieces:
+                    out.append((key, text_no, no, chars, len(found), long_run, sum(k == "forced" for *_, k in found)))
+                    continue
+                for i, (p, q, kind) in enumerate(found):
+                    out.append((key, text_no, no, i, p - own, q - own, kind, text[p:q]))
+                    if len(out) >= 5000:
+                        yield _emit(out, schema)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
+                yield _emit(out, schema)
 
     return run
 
@@ -97,78 +149,75 @@ def _check(limit: int, overlap: int, range_len: int) -> None:
         raise ValueError("a range must hold at least two pieces")
 
 
-def split_column(df: DataFrame, key: str, text: str, *, limit: int = 2000, overlap: int = 100, range_chars: int = 262_144, small: bool = False) -> DataFrame:
-    """(key, piece_no, piece_start, piece_end, kind, long_run, piece), offsets in characters.
+def column_ranges(df: DataFrame, key: str, text: str, limit: int, range_bytes: int) -> DataFrame:
+    """(key, text_no, range_no, size, low, raw): the ranges of texts longer than limit, each with its halo."""
+    rows = df.select(F.col(key).cast("string").alias("key"), F.monotonically_increasing_id().alias("text_no"), F.col(text).alias("t")).where(F.char_length("t") > limit)
+    raw = rows.select("key", "text_no", F.col("t").cast("binary").alias("whole"), F.octet_length("t").cast("bigint").alias("size"))
+    low = lambda i: F.greatest(F.lit(0).cast("bigint"), i * range_bytes - halo(limit))
+    part = lambda i: F.struct(i.alias("range_no"), low(i).alias("low"), F.substring("whole", (low(i) + 1).cast("int"), ((i + 1) * range_bytes + halo(limit) - low(i)).cast("int")).alias("raw"))
+    # the slices are made once, as a list: no text is copied for each of its ranges
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / range_bytes))
+    cut_up = raw.select("key", "text_no", "size", F.explode(F.transform(numbers, part)).alias("r"))
+    return cut_up.select("key", "text_no", "r.range_no", "size", "r.low", "r.raw")
 
-    Only texts longer than ``limit``; with ``small`` also the others, as one piece each. ``long_run`` tells that
-    the text has a stretch of more than ``limit`` characters without white space. The key must be unique.
-    """
-    _check(limit, overlap, range_chars)
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("whole"), F.char_length(text).cast("bigint").alias("total"))
-    left, right = overlap + CONTEXT, 2 * limit + CONTEXT
-    large = rows.where(F.col("total") > limit).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / range_chars))).alias("range_no"))
-    base = F.greatest(F.lit(0).cast("bigint"), F.col("range_no") * range_chars - left)
-    ranges = large.select("key", "range_no", base.alias("base"), "total", F.substring("whole", base.cast("int") + 1, ((F.col("range_no") + 1) * range_chars + right - base).cast("int")).alias("slice"))
-    pieces = ranges.mapInArrow(_pieces(limit, overlap, range_chars), _PIECE_DDL)
-    out = _numbered(pieces)
-    if small:
-        whole = rows.where(F.col("total").between(1, limit))
-        out = out.unionByName(whole.select("key", F.lit(1).alias("piece_no"), F.lit(0).cast("bigint").alias("piece_start"), F.col("total").alias("piece_end"), F.lit("end").alias("kind"), F.lit(False).alias("long_run"), F.col("whole").alias("piece")))
-    return out
 
+def file_ranges(spark: SparkSession, files: list[tuple[str, int]], limit: int, range_bytes: int) -> DataFrame:
+    """(key, text_no, range_no, size, low, raw) of files given as (path, bytes); raw is null, workers read it."""
+    listed = spark.createDataFrame([(p, i, n) for i, (p, n) in enumerate(files) if n > 0], "key string, text_no bigint, size bigint")
+    ranges = listed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / range_bytes))).alias("range_no"))
+    low = F.greatest(F.lit(0).cast("bigint"), F.col("range_no") * range_bytes - halo(limit))
+    tasks = max(1, min(10_000, sum(-(-n // range_bytes) for _, n in files)))
+    return ranges.select("key", "text_no", "range_no", "size", low.alias("low"), F.lit(None).cast("binary").alias("raw")).repartition(tasks, "text_no", "range_no")
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    by_key = W.partitionBy("key")
-    numbered = pieces.withColumn("piece_no", F.row_number().over(by_key.orderBy("range_no", "piece_end"))).withColumn("long_run", F.max("long_run").over(by_key))
-    return numbered.select("key", "piece_no", "piece_start", "piece_end", "kind", "long_run", "piece")
 
+def boundary_table(ranges: DataFrame, limit: int, overlap: int, range_bytes: int) -> DataFrame:
+    """(key, text_no, range_no, chars, pieces, long_run, forced) of every range."""
+    return ranges.select(*_RANGE).mapInArrow(_scan(limit, overlap, range_bytes, False), _BOUND_DDL)
 
-def _file_ranges(limit: int, overlap: int, range_bytes: int):
-    halo = 4 * (2 * limit + CONTEXT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def stitched(bounds: DataFrame) -> DataFrame:
+    """(text_no, range_no, offset, number, long_run): characters and pieces before each range; long_run of the whole text."""
+    before = W.partitionBy("text_no").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in (("chars", "offset"), ("pieces", "number"))]
+    return bounds.select("text_no", "range_no", *sums, F.max("long_run").over(W.partitionBy("text_no")).alias("long_run"))
 
-        for b in batches:
-            for path, no, size in zip(*[b.column(c).to_pylist() for c in ("key", "range_no", "size")]):
-                system, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                begin, end = no * range_bytes, min((no + 1) * range_bytes, size)
-                low, high = max(0, begin - halo), min(size, end + halo)
-                with system.open_input_file(where) as f:
-                    raw = f.read_at(high - low, low)
-                # a character belongs to the range in which its first byte lies
-                lead = lambda p: next((i for i in range(p, min(p + 4, len(raw))) if raw[i] & 0xC0 != 0x80), min(p, len(raw)))
-                s, a, z = lead(0), lead(begin - low), lead(end - low) if end < size else len(raw)
-                stop = len(raw)
-                while high < size and stop > z and raw[stop - 1] & 0xC0 == 0x80:
-                    stop -= 1
-                if high < size and stop > z and raw[stop - 1] & 0xC0 == 0xC0:
-                    stop -= 1
-                before, own, after = raw[s:a].decode("utf-8", "replace"), raw[a:z].decode("utf-8", "replace"), raw[z:stop].decode("utf-8", "replace")
-                text, here = before + own + after, len(before)
-                room = (limit - overlap) // 2
-                first = here if begin == 0 else _anchor(text, here, room)
-                nxt = len(text) if end >= size else _anchor(text, here + len(own), room)
-                long_run = re.search(rf"[^ \t\n\r]{{{limit + 1}}}", text) is not None
-                out = [(path, no, p - here, q - here, k, long_run, len(own), text[p:q]) for p, q, k in cut(text, first, nxt, limit, overlap, begin == 0)]
-                out = out or [(path, no, None, None, None, long_run, len(own), None)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
-    return run
+def _placed(ranges: DataFrame, limit: int, overlap: int, range_bytes: int) -> DataFrame:
+    table = stitched(boundary_table(ranges, limit, overlap, range_bytes))
+    pieces = ranges.select(*_RANGE).mapInArrow(_scan(limit, overlap, range_bytes, True), _PIECE_DDL)
+    both = pieces.join(table, ["text_no", "range_no"])
+    return both.select("key", "text_no", (F.col("number") + F.col("place") + 1).cast("int").alias("piece_no"), (F.col("low") + F.col("offset")).alias("piece_start"), (F.col("high") + F.col("offset")).alias("piece_end"), "kind", "long_run", "piece")
+
+
+def oversized(df: DataFrame, key: str, text: str, *, limit: int = 2000, overlap: int = 100, range_bytes: int = 1 << 18) -> DataFrame:
+    """(key, text_no, chars, pieces, long_run, forced) of every text longer than limit, from the boundary table alone.
+
+    ``long_run`` tells that the text has a stretch of more than limit characters without white space, ``forced`` how
+    many of its pieces end at no boundary.
+    """
+    _check(limit, overlap, range_bytes // 4)
+    table = boundary_table(column_ranges(df, key, text, limit, range_bytes), limit, overlap, range_bytes)
+    return table.groupBy("key", "text_no").agg(F.sum("chars").alias("chars"), F.sum("pieces").alias("pieces"), F.max("long_run").alias("long_run"), F.sum("forced").alias("forced"))
+
+
+def split_column(df: DataFrame, key: str, text: str, *, limit: int = 2000, overlap: int = 100, range_bytes: int = 1 << 18, small: bool = False) -> DataFrame:
+    """(key, text_no, piece_no, piece_start, piece_end, kind, long_run, piece), offsets in characters.
+
+    Only texts longer than ``limit``; with ``small`` also the others, as one piece each.
+    """
+    _check(limit, overlap, range_bytes // 4)
+    out = _placed(column_ranges(df, key, text, limit, range_bytes), limit, overlap, range_bytes)
+    if small:
+        rows = df.select(F.col(key).cast("string").alias("key"), F.monotonically_increasing_id().alias("text_no"), F.col(text).alias("piece"))
+        whole = rows.where(F.char_length("piece").between(1, limit))
+        out = out.unionByName(whole.select("key", "text_no", F.lit(1).alias("piece_no"), F.lit(0).cast("bigint").alias("piece_start"), F.char_length("piece").cast("bigint").alias("piece_end"), F.lit("end").alias("kind"), F.lit(False).alias("long_run"), "piece"))
+    return out
 
 
 def split_files(spark: SparkSession, files: list[tuple[str, int]], *, limit: int = 2000, overlap: int = 100, range_bytes: int = 1 << 20) -> DataFrame:
     """As ``split_column`` for UTF-8 files given as (path, bytes): no worker reads more than a range and its halos.
 
-    The driver only lists (path, range) pairs as a sequence per file; offsets in characters come from a running
-    sum over the lengths of the ranges before. The path must be readable by every executor.
+    Each range is read twice, for the boundary table and for its pieces. Every executor must be able to read the path.
     """
     _check(limit, overlap, range_bytes // 4)
-    listed = spark.createDataFrame([(p, n) for p, n in files if n > 0], "key string, size bigint")
-    ranges = listed.select("key", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / range_bytes))).alias("range_no"))
-    ranges = ranges.repartition(max(1, min(10_000, sum(-(-n // range_bytes) for _, n in files))), "key", "range_no")
-    pieces = ranges.mapInArrow(_file_ranges(limit, overlap, range_bytes), _PIECE_DDL)
-    lengths = pieces.select("key", "range_no", "range_len").distinct()
-    offsets = lengths.select("key", "range_no", F.coalesce(F.sum("range_len").over(W.partitionBy("key").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    placed = pieces.join(offsets, ["key", "range_no"]).where(F.col("piece").isNotNull())
-    return _numbered(placed.withColumns({"piece_start": F.col("piece_start") + F.col("offset"), "piece_end": F.col("piece_end") + F.col("offset")}))
+    return _placed(file_ranges(spark, files, limit, range_bytes), limit, overlap, range_bytes)
