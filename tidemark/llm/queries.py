@@ -60,7 +60,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
     best = top_n_per_group(table(spark, d, "hits"), "query_text", "id", "score", "len")
-    return best.select(F.col("grp").alias("query_text"), "rank", F.col("item").alias("id"), "score", F.col("len").alias("len"))
+    return best.select(F.col("grp").alias("query_text"), F.col("rank").cast("bigint").alias("rank"), F.col("item").alias("id"), "score", F.col("len").alias("len"))
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,8 @@ def _distinct(spark: SparkSession, d: str, **bounds: int) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _distinct(spark, d, least_tf=3, least_df=2, most_df=8).select(F.col("key").alias("doc_pos"), "term")
+    """What the bounds choose, as far as it sets a record apart at all: every term with a score above 0."""
+    return _distinct(spark, d, least_tf=3, least_df=2, most_df=8).where("score > 0").select(F.col("key").alias("doc_pos"), "term")
 
 
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:

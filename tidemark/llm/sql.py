@@ -2,4 +2,30 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+# white space that ends an unbroken stretch, and terms
+_STRETCH = "list_max(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: length(x)))"
+_TERMS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
+_RECORD = "concat_ws(' ', summary, path, description, array_to_string(list_transform(params, lambda p: concat_ws(' ', replace(p.name, '_', ' '), p.description)), ' '))"
+_COUNTED = f"""t AS (SELECT doc_pos, {_TERMS.format("concat_ws(' ', summary, description)")} AS ts FROM raw_documents),
+u AS (SELECT doc_pos, unnest(ts) AS term FROM t),
+n AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_pos) AS records FROM u GROUP BY term),
+k AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.25 * (SELECT count(*) FROM raw_documents) THEN 'common' END AS mark FROM n)"""
+_TOP = """b AS (SELECT query_text, id, max(score) AS score, min(len) AS len FROM hits WHERE query_text IS NOT NULL AND id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY score DESC, len, id) AS rank FROM b)"""
+_SCORED = f"""t AS (SELECT doc_pos, {_TERMS.format(_RECORD)} AS ts FROM raw_documents),
+tf AS (SELECT doc_pos, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_pos, len(ts) AS len, unnest(ts) AS term FROM t) GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, sum(tf)::DOUBLE AS cf FROM tf GROUP BY term),
+al AS (SELECT count(*)::DOUBLE AS n, sum(len(ts))::DOUBLE AS l FROM t),
+x AS (SELECT tf.doc_pos, tf.term, tf.tf, st.df, st.cf / al.n AS rate, tf.tf * log2(1 + al.l / al.n / tf.len) AS tfn FROM tf JOIN st USING (term), al),
+s AS (SELECT *, (log2(1 + rate) + tfn * log2((1 + rate) / rate)) / (tfn + 1) AS score FROM x)"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"SELECT doc_pos, CASE WHEN {_STRETCH} > 2000 THEN 'forced' ELSE 'boundary' END AS cut FROM raw_documents WHERE length(text) > 2000",
+    "p2_rebuilt": "SELECT doc_pos, md5(text) AS digest, true AS within, true AS shared FROM raw_documents WHERE length(text) > 2000",
+    "p3_found": f"WITH {_COUNTED} SELECT term, mark FROM k WHERE mark IS NOT NULL",
+    "p3_terms": f"WITH {_COUNTED} SELECT term, occurrences, records, mark FROM k",
+    "p4_found": f"WITH {_TOP} SELECT query_text, id FROM r WHERE rank <= 5",
+    "p4_ranked": f"WITH {_TOP} SELECT query_text, rank, id, score, len::BIGINT AS len FROM r WHERE rank <= 5",
+    "p7_found": f"WITH {_SCORED} SELECT doc_pos, term FROM s WHERE tf >= 3 AND df BETWEEN 2 AND 8",
+    "p7_scores": f"WITH {_SCORED} SELECT doc_pos, term, tf, df, round(score, 6) AS score FROM s",
+}
