@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .distinct import distinctive_terms, record_text
 from .leak import leaks
-from .lookalike import lookalike_pairs, with_form
+from .lookalike import lookalike_classes, lookalike_pairs, with_form
 from .markup import clean_markup
 from .mix import mix
 from .pairs import broken_pairs
@@ -125,6 +125,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"key_a": "doc_id_a", "key_b": "doc_id_b"})
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document with a look-alike, with the least document of its look and of its spelling."""
+    return lookalike_classes(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_form(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "form", (F.col("form") != F.col("text")).alias("changed"))
 
