@@ -2,6 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from .lookalike import ARMENIAN, CHEROKEE, CYRILLIC, GREEK, LISU
+
+# characters and what they look like, one for one: full-width forms, spaces, letters of other scripts (composed with
+# an accent, too)
+_LETTERS = {p[0]: p[1] for t in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU) for p in t.split()}
+_WIDE = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+_SPACES = {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)}
+_ACCENTED = {chr(c): x for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0] in _LETTERS and len(x := unicodedata.normalize("NFC", _LETTERS[d[0]] + d[1:])) == 1}
+_LOOK = _LETTERS | _WIDE | _SPACES | _ACCENTED
+
+
+def _translated(c: str, table: dict[str, str]) -> str:
+    return f"translate({c}, '{''.join(table).replace(chr(39), chr(39) * 2)}', '{''.join(table.values()).replace(chr(39), chr(39) * 2)}')"
+
+
+def _seen(c: str, table: dict[str, str] = _LOOK) -> str:
+    """A text by its look: without invisible characters, composed, other characters as those they look like."""
+    bare = f"regexp_replace({c}, '[\\x{{ad}}\\x{{34f}}\\x{{61c}}\\x{{180e}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{feff}}]', '', 'g')"
+    return f"nfc_normalize({_translated(f'nfc_normalize({bare})', table)})"
+
+
+# words: of each the letters as they look; small letters first unless all of it may be Latin
+_WORD = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: CASE WHEN regexp_full_match({}, '[A-Za-z0-9\\x{{c0}}-\\x{{24f}}]+') THEN lower({}) ELSE {} END)"
+_PLAIN = _seen("text", _WIDE | _SPACES)
+_WORDS = _WORD.format(_PLAIN, _translated("w", _LOOK), _translated("w", _LOOK), _translated("lower(w)", _LOOK))
 # white space that ends an unbroken stretch, and terms
 _STRETCH = "list_max(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: length(x)))"
 _TERMS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
@@ -26,6 +53,11 @@ ORACLE: dict[str, str] = {
     "p3_terms": f"WITH {_COUNTED} SELECT term, occurrences, records, mark FROM k",
     "p4_found": f"WITH {_TOP} SELECT query_text, id FROM r WHERE rank <= 5",
     "p4_ranked": f"WITH {_TOP} SELECT query_text, rank, id, score, len::BIGINT AS len FROM r WHERE rank <= 5",
+    "p8_found": f"""WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, {_WORDS} AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM dw)), ig AS (SELECT item_id, array_to_string(ws[i:i + 11], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM iw))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_found": f"WITH s AS (SELECT doc_id, text, {_seen('text')} AS look FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p10_classes": f"WITH s AS (SELECT doc_id, text, {_seen('text')} AS look FROM documents WHERE text IS NOT NULL), n AS (SELECT look, min(doc_id) AS class FROM s GROUP BY look HAVING count(DISTINCT text) > 1), t AS (SELECT text, min(doc_id) AS spelling FROM s GROUP BY text) SELECT s.doc_id, n.class, t.spelling FROM s JOIN n USING (look) JOIN t USING (text)",
     "p7_found": f"WITH {_SCORED} SELECT doc_pos, term FROM s WHERE tf >= 3 AND df BETWEEN 2 AND 8",
     "p7_scores": f"WITH {_SCORED} SELECT doc_pos, term, tf, df, round(score, 6) AS score FROM s",
 }
