@@ -34,4 +34,45 @@ def test_long_inline_formulas():
     for text in (f"The value follows ${body}$ here.", f"The value follows \\({body}\\) here."):
         assert clean(text)[0] == f"The value follows {body} here."
     plain = "Plan prices start at $5 " + "and go on " * 50 + "and end at $40 per seat."
-    assert clean(plain) == (plain, [{"kind": "text", "text": plain}], {})
+    assert clean(plain) == (plain, [{"kind": "text", "text": plain, "depth": 0}], {})
+
+
+def test_structure_is_kept():
+    assert clean("<ul><li>one</li><li>two<ul><li>in</li></ul></li></ul>")[0] == "• one\n• two\n  • in"
+    assert clean("- a\n  - b\n    - c")[0] == "• a\n  • b\n    • c"
+    assert clean("* x\n** y")[0] == "• x\n  • y"
+    assert clean("<table><tr><td>a</td><td>b</td></tr><tr><th>c</th><td>d</td></tr></table>")[0] == "a\tb\nc\td"
+    done, blocks, _ = clean("Text \\section{Intro} more text")
+    assert done == "Text\n\nIntro\n\nmore text" and [b["kind"] for b in blocks] == ["text", "heading", "text"]
+    assert clean("A <h2>Part</h2> b")[0] == "A\n\nPart\n\nb"
+
+
+def test_nesting_of_any_depth():
+    commands = "textbf textit emph underline textsc texttt textbf textit".split()
+    assert clean("".join(f"\\{c}{{" for c in commands) + "x" + "}" * len(commands) + " y")[0] == "x y"
+    assert clean("<b>" * 50 + "deep" + "</b>" * 50 + " text")[0] == "deep text"
+    assert clean("<o:p>x</o:p> and <custom-el a=\"1\">y</custom-el>")[0] == "x and y"
+
+
+def test_blocks_of_markup_fall_and_text_stays():
+    bar = "".join(f"<a href='/some/long/path/{i}'>Go{i}</a>\n" for i in range(5))
+    assert clean(bar + "\nA paragraph that says something.\n")[0] == "A paragraph that says something."
+    assert clean("<b>One</b>\n\n**two**\n\n[three](http://x.example/a/long/path/to/it)")[0] == "One\n\ntwo\n\nthree"
+
+
+def test_private_characters_stay():
+    assert clean(" keep  *it* ")[0] == " keep  it "
+
+
+def test_plain_signs_stay():
+    for text in ["a < b and c > d", "It costs $5 or $6.", "/x/{owner}/y", "See #42 and *.md", "items[0]", "snake_case_name", "^a.*b$", '{"a": [1, 2], "b": null}', "<your-token> goes here", "", "  ", "x * y * z"]:
+        assert clean(text)[0] == text and clean(text)[2] == {}
+
+
+def test_empty_table_and_nulls(spark):
+    from tidemark.llm.markup import clean_markup
+
+    rows = spark.createDataFrame([(1, None, "x"), (None, "*a*", "y")], "id long, value string, clean string")
+    got = {(r.key, r.clean, r.pieces) for r in clean_markup(rows, "id", ["value"]).collect()}
+    assert got == {(1, None, 0), (None, "a", 1)}
+    assert clean_markup(rows.limit(0), "id", ["value", "clean"]).count() == 0

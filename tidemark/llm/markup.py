@@ -4,16 +4,18 @@ HTML, Markdown, wiki and LaTeX notation is recognised by its whole construct (a
 command with its argument), not by its signs, so comparisons, prices, placeholders in paths, wildcards, indexes,
 names with underscores, regular expressions and raw data stay as they are. Code and formulas are taken out
 first and are not looked into. Then markup is stripped line by line, and the line-block distribution decides
-what is text: lengths of stripped lines are summed over a sliding window; a surge, where the sum rises over
-the threshold, opens a block and a dive, where it falls back, closes it; lines between are kept, and lines that
-carry structure are kept anyway. What was only markup (table rules, closing tags) has no length. The threshold is 0,
-so every line with text is kept and only blank lines are decided: the method is nominal here (see README.md).
+what is text: over a sliding window of lines the lengths of stripped text and of what stood there before are summed;
+a surge, where the text's share of the window reaches ``SHARE``, opens a block and a dive, where it falls below,
+closes it. Lines between are kept, and so are lines that carry structure or end a sentence; what falls are blocks of at
+least as many lines as a window that were nearly all markup, such as bars of links, and what was only markup (table
+rules, closing tags).
 
-In the clean text a heading is a line of its own, a list item starts with a bullet, code is indented by four
-spaces and a formula is its source without delimiters; ``blocks`` has the same with the kind of each block.
+In the clean text a heading is a line of its own, a list item starts with a bullet, two spaces in for each list around
+it, the cells of a table row are set apart by tabs, code is indented by four spaces and a formula is its source without
+delimiters; ``blocks`` has the same with the kind and depth of each block.
 
 Defined results: null gives null, without markup; a value without markup comes out unchanged, empty and blank
-ones included; repeated rows are cleaned each for itself.
+ones included; repeated rows are cleaned each for itself; nesting is followed to any depth.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,10 +79,23 @@ _WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\|.*|\|\}|\|-+.*|\|\+.*)$")
 _WIKI_CELL = re.compile(r"^[ \t]*[|!][ \t]*(\S.*)$")
 #: A value without any of these holds no markup.
 _SPECIAL = re.compile(r"[<&`*_~\[{$\\|]|''|^[ \t]*(?:[#>+-]+|•|\d{1,3}[.)])[ \t]|^={1,6}|^-{3,}", re.M)
-_CODE, _MATH = "\ue000", "\ue001"
-_HOLD = re.compile("[\ue000\ue001](\\d+)\ue002")
-#: Lines in a window, and characters a window must have more than.
-WINDOW, THRESHOLD = 3, 0
+#: Lines in a window, and the share of text that a window of a block has at least.
+WINDOW, SHARE = 3, 0.25
+_STRUCTURE = re.compile(r"<(/?)(ul|ol|li|tr|td|th|h[1-6])\b((?:%s)*(?:%s)*(?:%s)*)\s*/?>" % (_ATTR, _BARE_ATTR, _ATTR), re.I)
+_SECTION = re.compile(r"[ \t]*(\\(?:chapter|section|subsection|subsubsection|paragraph|part)\*?\{[^{}\n]*\})[ \t]*")
+#: Elements of other vocabularies count only with their end.
+_CUSTOM = re.compile(r"<([A-Za-z]\w*[:-][\w:.-]*)(?:%s)*\s*>(.*?)</\1\s*>|<[A-Za-z]\w*[:-][\w:.-]*(?:%s)*\s*/>" % (_ATTR, _ATTR), re.S)
+_SENTENCE_END = re.compile(r"[.!?:;…][\"'”»)\]]*$")
+
+
+@lru_cache(maxsize=64)
+def _hold_pattern(code: str, math: str, end: str) -> re.Pattern:
+    return re.compile(f"[{code}{math}](\\d+){end}")
+
+
+def _marks(text: str) -> tuple[str, ...]:
+    """Five characters for private use that the text hasn't."""
+    return tuple(islice((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))) if c not in text), 5))
 
 
 def _tag_ok(m: re.Match) -> bool:
@@ -92,9 +109,11 @@ def _entity(m: re.Match) -> str:
 
 
 class _Cleaner:
-    def __init__(self) -> None:
+    def __init__(self, text: str) -> None:
         self.kinds: dict[str, int] = {}
         self.held: list[str] = []
+        self.code, self.math, self.end, self.item, self.row = _marks(text)
+        self.holds = _hold_pattern(self.code, self.math, self.end)
 
     def note(self, kind: str, n: int = 1) -> None:
         self.kinds[kind] = self.kinds.get(kind, 0) + n
@@ -107,8 +126,8 @@ class _Cleaner:
                 return m[0]
             self.note(kind)
             self.held.append(html.unescape(body) if unescape else body)
-            own = block and "\n" in body.strip() or block and mark == _CODE and m[0].startswith(("```", "<pre", "<PRE", "\\begin"))
-            put_in = f"{mark}{len(self.held) - 1}\ue002"
+            own = block and "\n" in body.strip() or block and mark == self.code and m[0].startswith(("```", "<pre", "<PRE", "\\begin"))
+            put_in = f"{mark}{len(self.held) - 1}{self.end}"
             return f"\n{put_in}\n" if own else put_in
 
         return put
@@ -120,9 +139,17 @@ class _Cleaner:
             self.note("html")
             return "\n" if m[2].lower() in ("br", "p", "div", "li", "tr", "ul", "ol", "table", "hr") else " " if m[2].lower() in ("td", "th") else ""
 
+        def custom(m: re.Match) -> str:
+            self.note("html")
+            return m[2] or ""
+
         s = _TAG.sub(tag, s)
+        while "<" in s:
+            s, n = _CUSTOM.subn(custom, s)
+            if not n:
+                break
         for kind, pattern, group in _INLINE:
-            for _ in range(3):  # nested marks
+            while True:  # nested marks
 
                 def plain(m: re.Match, kind: str = kind, group: int = group) -> str:
                     self.note(kind)
@@ -131,7 +158,7 @@ class _Cleaner:
                 s, n = pattern.subn(plain, s)
                 if not n:
                     break
-        for _ in range(5):
+        while True:
 
             def command(m: re.Match) -> str:
                 self.note("latex")
@@ -149,16 +176,49 @@ class _Cleaner:
 
         return _ENTITY.sub(entity, s)
 
-    def lines(self, text: str) -> list[tuple[str, str, int]]:
-        """(kind, stripped line, weight): the weight is the length of its text, none if all of it was markup."""
-        raw, out, i = text.split("\n"), [], 0
+    def structured(self, s: str) -> str:
+        """Items, rows and headings on lines of their own: items and rows with a mark, items indented by their lists."""
+        depth = 0
+
+        def place(m: re.Match) -> str:
+            nonlocal depth
+            name, closing = m[2].lower(), bool(m[1])
+            if name[0] == "h":  # read as a heading with its tag
+                return m[0] + "\n" if closing else "\n" + m[0]
+            self.note("html")
+            if name in ("ul", "ol"):
+                depth = max(0, depth - 1) if closing else depth + 1
+                return "\n" if closing and not depth else ""
+            if name == "li":
+                return "" if closing else "\n" + "  " * max(0, depth - 1) + self.item
+            if name == "tr":
+                return "" if closing else "\n" + self.row
+            return "" if closing else "\t"
+
+        if "<" in s:
+            s = _STRUCTURE.sub(place, s)
+        if "\\" in s:
+            s = _SECTION.sub(lambda m: f"\n{m[1]}\n", s)
+        return s
+
+    def lines(self, text: str) -> list[tuple[str, str, int, float, int]]:
+        """(kind, stripped line, length of its text, length before, depth); a line that was all markup has no text."""
+        raw, out, i = self.structured(text).split("\n"), [], 0
         table = any(_ROW_RULE.match(x) for x in raw) or any(x.lstrip().startswith("{|") for x in raw)
         while i < len(raw):
-            line, kind, body = raw[i], "text", None
-            if _QUOTE.match(line):
+            line, kind, body, depth = raw[i], "text", None, 0
+            whole = len(line.strip())
+            bare = line.lstrip(" ")
+            if bare[:1] == self.item:
+                kind, body, depth = "item", bare[1:], (len(line) - len(bare)) // 2
+            elif bare[:1] == self.row:
+                kind, body = "row", bare[1:].strip("\t")
+            elif _QUOTE.match(line):
                 self.note("markdown")
                 line = _QUOTE.sub("", line)
-            if (m := next((m for p in _HEADING if (m := p.match(line))), None)) is not None and not (m.re is _HEADING[1] and len(m[1]) == 1 and m[2][:1] in "=<>!"):
+            if body is not None:
+                pass
+            elif (m := next((m for p in _HEADING if (m := p.match(line))), None)) is not None and not (m.re is _HEADING[1] and len(m[1]) == 1 and m[2][:1] in "=<>!"):
                 self.note("markdown" if m.re is _HEADING[0] else "wiki" if m.re is _HEADING[1] else "latex" if m.re is _HEADING[2] else "html")
                 kind, body = "heading", m[m.lastindex]
             elif i + 1 < len(raw) and line.strip() and _UNDERLINE.match(raw[i + 1]) and not _UNDERLINE.match(line):
@@ -174,35 +234,43 @@ class _Cleaner:
                 self.note("markdown")
                 kind, body = "row", re.sub(r"[ \t]*(?:\|\|?|!!)[ \t]*", "\t", m[1])
             elif m := _ITEM.match(line):
-                self.note("latex" if "\\item" in line[: len(line) - len(m[2])] else "markdown")
+                mark = line[: len(line) - len(m[2])].strip()
+                self.note("latex" if "\\item" in mark else "markdown")
                 kind, body = "item", m[2]
+                depth = len(mark) - 1 if len(mark) > 1 and not mark.strip("*#") else len(m[1].expandtabs(4)) // 2
             body = self.inline(line if body is None else body)
             bare = body.strip()
-            if kind == "text" and (held := _HOLD.fullmatch(bare)):
-                kind = "code" if bare[0] == _CODE else "formula"
-            for part in body.split("\n") if kind in ("text", "row") else [" ".join(body.split())]:
-                out.append((kind, part, len(part.strip())))
+            if kind == "text" and (held := self.holds.fullmatch(bare)):
+                kind = "code" if bare[0] == self.code else "formula"
+            parts = body.split("\n") if kind in ("text", "row") else [" ".join(body.split())]
+            text_length = sum(len(p.strip()) for p in parts)
+            for part in parts:
+                n = len(part.strip())
+                out.append((kind, part, n, whole * n / text_length if text_length else whole / len(parts), depth))
             i += 1
         return out
 
     def restore(self, s: str) -> str:
-        while _HOLD.search(s):
-            s = _HOLD.sub(lambda m: self.held[int(m[1])], s)
+        while self.holds.search(s):
+            s = self.holds.sub(lambda m: self.held[int(m[1])], s)
         return s
 
 
-def _dense(weights: list[int]) -> list[bool]:
-    """Lines between a surge and a dive of the sums over WINDOW lines."""
-    sums, n = [], len(weights)
-    for i in range(n):
-        sums.append(sum(weights[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]))
-    keep, inside = [False] * n, False
-    for i in range(n):
-        if not inside and sums[i] > THRESHOLD:  # surge
-            inside = True
-        elif inside and sums[i] <= THRESHOLD:  # dive
-            inside = False
-        keep[i] = inside
+def _dense(texts: list[int], wholes: list[float]) -> list[bool]:
+    """Lines between a surge and a dive of the text's share over WINDOW lines; windows without anything go with the line before."""
+    keep, inside = [], False
+    for i in range(len(texts)):
+        low, high = max(0, i - WINDOW // 2), i + WINDOW // 2 + 1
+        text, whole = sum(texts[low:high]), max(sum(wholes[low:high]), sum(texts[low:high]))
+        if whole:
+            inside = text > 0 and text >= SHARE * whole  # a surge opens the block, a dive closes it
+        keep.append(inside)
+    at = 0
+    for kept, run in groupby(keep[:]):
+        n = len(list(run))
+        if not kept and sum(t > 0 for t in texts[at : at + n]) < WINDOW:  # too short to be a block of markup
+            keep[at : at + n] = [t > 0 for t in texts[at : at + n]]
+        at += n
     return keep
 
 
@@ -211,33 +279,33 @@ def clean(text: str | None) -> tuple[str | None, list[dict], dict[str, int]]:
     if text is None:
         return None, [], {}
     if not _SPECIAL.search(text):
-        return text, [{"kind": "text", "text": text}] if text.strip() else [], {}
-    c = _Cleaner()
-    s = re.sub("[\ue000-\ue002]", "", text).replace("\r\n", "\n")
-    s = _FENCE.sub(c.hold("markdown", _CODE), s)
-    s = _PRE.sub(c.hold("html", _CODE, unescape=True), s)
-    s = _VERBATIM.sub(c.hold("latex", _CODE), s)
-    s = _WIKI_CODE.sub(c.hold("wiki", _CODE, block=False), s)
-    s = _MATH_BLOCK.sub(c.hold("latex", _MATH), s)
-    s = _MATH_INLINE.sub(c.hold("latex", _MATH, block=False), s)
+        return text, [{"kind": "text", "text": text, "depth": 0}] if text.strip() else [], {}
+    s = text.replace("\r\n", "\n")
+    c = _Cleaner(s)
+    s = _FENCE.sub(c.hold("markdown", c.code), s)
+    s = _PRE.sub(c.hold("html", c.code, unescape=True), s)
+    s = _VERBATIM.sub(c.hold("latex", c.code), s)
+    s = _WIKI_CODE.sub(c.hold("wiki", c.code, block=False), s)
+    s = _MATH_BLOCK.sub(c.hold("latex", c.math), s)
+    s = _MATH_INLINE.sub(c.hold("latex", c.math, block=False), s)
     for pattern in (_COMMENT, _SCRIPT):
         s, n = pattern.subn(" ", s)
         if n:
             c.note("html", n)
     lines = c.lines(s)
     if not c.kinds:
-        return text, [{"kind": "text", "text": text}] if text.strip() else [], {}
-    keep = _dense([w for *_, w in lines])
+        return text, [{"kind": "text", "text": text, "depth": 0}] if text.strip() else [], {}
+    keep = _dense([n for _, _, n, _, _ in lines], [w for *_, w, _ in lines])
     blocks: list[dict] = []
-    for (kind, line, _), kept in zip(lines, keep):
-        if not kept and kind == "text":
+    for (kind, line, _, whole, depth), kept in zip(lines, keep):
+        if not kept and whole and kind == "text" and not _SENTENCE_END.search(line.rstrip()):
             continue
         if kind in ("code", "formula"):
             body = c.restore(line.strip()).strip("\n")
         else:
             body = re.sub(r"[ \t]{2,}", " " if kind != "row" else "\t", c.restore(line)).strip()
         if body or kind == "text":
-            blocks.append({"kind": kind, "text": body})
+            blocks.append({"kind": kind, "text": body, "depth": depth})
     shown, gap = [], False
     for b in blocks:
         if not b["text"]:
@@ -246,12 +314,12 @@ def clean(text: str | None) -> tuple[str | None, list[dict], dict[str, int]]:
         if gap or (shown and b["kind"] in ("heading", "code")):
             shown.append("")
         gap = b["kind"] in ("heading", "code")
-        shown.append("\u2022 " + b["text"] if b["kind"] == "item" else "\n".join("    " + x for x in b["text"].split("\n")) if b["kind"] == "code" else b["text"])
+        shown.append("  " * b["depth"] + "\u2022 " + b["text"] if b["kind"] == "item" else "\n".join("    " + x for x in b["text"].split("\n")) if b["kind"] == "code" else b["text"])
     return "\n".join(shown), [b for b in blocks if b["text"]], c.kinds
 
 
-_OUT = pa.schema([("key", pa.int64()), ("field", pa.string()), ("clean", pa.string()), ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))), ("notations", pa.list_(pa.string())), ("pieces", pa.int32())])
-_OUT_DDL = "key bigint, field string, clean string, blocks array<struct<kind string, text string>>, notations array<string>, pieces int"
+_OUT = pa.schema([("key", pa.int64()), ("field", pa.string()), ("clean", pa.string()), ("blocks", pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("depth", pa.int32())]))), ("notations", pa.list_(pa.string())), ("pieces", pa.int32())])
+_OUT_DDL = "key bigint, field string, clean string, blocks array<struct<kind: string, text: string, depth: int>>, notations array<string>, pieces int"
 
 
 def _clean_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
