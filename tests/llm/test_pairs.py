@@ -93,3 +93,35 @@ def test_copies_of_any_length():
     assert pairs.is_copy(q, f"Thank you for your message, I have read it with care and this is the question you asked me: {q}")
     assert not pairs.is_copy(q, " ".join([q] * 50) + " Call GET /repos/abc/x and check the returned status.")
     assert not pairs.is_copy(q, f"Call GET /repos/abc/x and check the returned status, as this is the answer to what you asked: {q}")
+
+
+def test_languages_beyond_those_of_the_prompts():
+    asked = "How do I list the branches of a repository?"
+    for answer in ("Per questo si usa la chiamata giusta, che è nella lista delle operazioni.", "Gebruik het juiste verzoek en roep dit daarna niet opnieuw aan voor de lijst.", "请调用列表操作。", "Bunun için doğru işlem budur ve daha sonra liste gelir.", "Najpierw użyj listy, potem sprawdź odpowiedź, która nie jest pusta."):
+        assert pairs.other_language(asked, answer), answer
+    assert not pairs.other_language(asked, "You can use the list of branches and then check the answer.")
+    assert not pairs.other_language(asked, "`GET /x`") and not pairs.other_language(None, "Bonjour")
+
+
+def test_copies():
+    q = "How do I list the branches of a repository?"
+    for a in (q, q.upper(), f"> {q}", f"You asked: {q}", f"You asked: {q}\nI will repeat: {q}", " ".join([q] * 60), q.replace("branches", "brnches")):
+        assert pairs.is_copy(q, a), a
+    for a in (f"{q} Use GET /repos.", f"To answer: GET /repos/x\n{q}", "How do I list", ""):
+        assert not pairs.is_copy(q, a), a
+
+
+def test_lines_that_others_begin_with(spark):
+    closing = ["finally check the result in the listing", "ab", "finally check the rest"]
+    asked = ["finally check the result", "finally check the re", "finally check the rest", "a", "ab", "b", "finally check the result in the listing", "finally check the rexx"]
+    frames = [spark.createDataFrame([(x,) for x in xs], "line string") for xs in (asked, closing)]
+    got = {r.line for r in pairs._begun(*frames).collect()}
+    assert got == {a for a in asked if any(c.startswith(a) and c != a for c in closing)}
+
+
+def test_empty_tables_nulls_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, None, None, "x"), (2, None, "Call GET /a now.", "x"), (3, "q", "", "x")], "record long, asked string, answer string, line string")
+    catalogue = spark.createDataFrame([], "method string, path string")
+    got = {tuple(r) for r in pairs.broken_pairs(rows, "record", "asked", "answer", catalogue).collect()}
+    assert got == {(1, "empty"), (2, "invented"), (3, "empty")}
+    assert pairs.broken_pairs(rows.limit(0), "record", "asked", "answer", catalogue).count() == 0

@@ -42,6 +42,10 @@ WORDS = {
     "pt": "o os um uma em na nas do da dos das não é ou ao pelo pela você isso este seu sua com são tem mais também então até sem depois primeiro qual jeito preciso faço quando eu quem pode lista vem envie por fim use chame antes disso ter como existe uma só vez",
     "es": "el los las una en del al y con es más sin usted puede hay qué cómo esto su lo después luego así hasta llamada necesito si quien ve recibe viene envíe por último use llame antes hace falta tener forma debo la",
     "fr": "le les des du et est une dans pour avec vous pouvez ce cette si ne pas qui au aux sur par avant il faut l'espace appelez puis enfin la liste jusqu'à n'existe la vérifiez utilisez d'abord ensuite code réponse opération bonne",
+    "it": "il gli della delle degli dell' dal dalla nella sono è che non per questo questa può anche prima dopo quindi usi chiami senza fino ogni quale viene chiamata risposta operazione giusta",
+    "nl": "het een van en niet met voor zijn aan wordt kunt deze dit naar bij ook eerst daarna zonder tot roep gebruik antwoord juiste oproep lijst geen",
+    "pl": "i w na nie jest się że dla przed oraz lub jak który która można należy żądanie odpowiedź lista użyj wywołaj najpierw potem bez jeśli właściwa",
+    "tr": "ve bir bu için ile olarak değil çok daha sonra önce kadar olan gibi çağrı kullanın liste yanıt doğru işlem ise yok",
     "de": "der die das und ist nicht mit für sie ein eine den dem des zu auf wenn wie von im bis zum danach zuerst schluss kommt wird man kann vorher nötig dies holen senden prüfen ergebnis liste aufruf deshalb antwort richtige ohne",
 }
 # Placeholders for "no answer", punctuation set aside.
@@ -82,6 +86,9 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)*_]*\s+|\n+")
 _TERMINAL = re.compile(r"[.!?…][\"'”»)\]*_`]*$")
 _NOT_WORD = re.compile(r"[\W_]+")
 _LISTS = {k: frozenset(v.split()) for k, v in WORDS.items()}
+# Ranges of letters that tell a script, and so the language of a word, by themselves.
+SCRIPTS = {"ru": "\u0400-\u052f", "el": "\u0370-\u03ff", "he": "\u0590-\u05ff", "ar": "\u0600-\u06ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f", "ko": "\uac00-\ud7af", "ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff"}
+_SCRIPT = re.compile("|".join(f"(?P<{k}>[{v}])" for k, v in SCRIPTS.items()))
 _OPEN, _CLOSE = "([{", ")]}"
 NO, YES, ASK = 0, 1, 2
 
@@ -119,7 +126,9 @@ def is_copy(prompt: str | None, answer: str) -> bool:
         return False
     answer = _UNSEEN.sub("", re.sub(r"^\s*```\w*", "", answer))
     told = re.match(r"([^:\n]+):\s*(.+)", answer, re.S)
-    for a in [answer, *([told[2]] if told and not (len(told[1]) > 60 and calls_in(told[1])) else [])]:
+    # what leads over to the question, said again or not, ends in a colon and names no call
+    parts = [p for p in re.split(r"(?<=:)\s+|\n+", answer) if p and not (p.endswith(":") and not calls_in(p))]
+    for a in dict.fromkeys([answer, *([told[2]] if told and not (len(told[1]) > 60 and calls_in(told[1])) else []), "\n".join(parts)]):
         a = flat(a)
         for k in range(max(1, (len(a) - 4) // (len(q) + 1)), 1 + round((len(a) + 1) / (len(q) + 1))):
             if _near(a, " ".join([q] * k)):
@@ -146,10 +155,12 @@ def prose(answer: str) -> str:
 
 
 def language(words: list[str]) -> tuple[str | None, int]:
-    """The language whose function words are most, and by how many of them it leads; None if no word tells."""
+    """The language whose function words, or letters, are most, and by how many it leads; None if no word tells."""
     score = {k: sum(w in v for w in words) for k, v in _LISTS.items()}
-    cyrillic = sum("а" <= w[0] <= "я" for w in words)
-    score["ru"] = cyrillic
+    if not "".join(words).isascii():
+        for w in words:
+            if m := _SCRIPT.match(w):
+                score[m.lastgroup] = score.get(m.lastgroup, 0) + 1
     (best, n), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
     return (best, n - second) if n > second else (None, 0)
 
@@ -398,12 +409,43 @@ def refusal_openings(base: DataFrame, recurring: int = 8) -> DataFrame:
 # ---- lists and calls
 
 
+HEAD = 16
+
+
+def _begun(asked: DataFrame, closing: DataFrame) -> DataFrame:
+    """(line): the asked lines that a longer closing line begins with.
+
+    Short lines meet the first characters of closing lines. Others are sorted with the closing lines that share their
+    head: all lines that begin with a line come right after it, so the next closing line decides.
+    """
+    heads = closing.where(F.char_length("line") > 1).select("line", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD - 1), F.char_length("line") - 1))).alias("n"))
+    short = asked.where(F.char_length("line") < HEAD).join(heads.select(F.expr("left(line, n)").alias("line")).distinct(), "line", "left_semi")
+    both = asked.select("line", F.lit(True).alias("asks")).unionByName(closing.select("line", F.lit(False).alias("asks"))).where(F.char_length("line") >= HEAD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+        for b in batches:
+            found = []
+            for line, asks in zip(b.column("line").to_pylist(), b.column("asks").to_pylist()):
+                waiting = [w for w in waiting if line.startswith(w)]
+                if asks:
+                    waiting.append(line)
+                else:
+                    found += [w for w in waiting if w != line]
+                    waiting = [w for w in waiting if w == line]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["line"])
+
+    ordered = both.repartition(F.left("line", F.lit(HEAD))).sortWithinPartitions("line", F.col("asks").desc())
+    return short.unionByName(ordered.mapInArrow(run, "line string")).distinct()
+
+
 def finished_lines(base: DataFrame) -> DataFrame:
     """(line): templates of last list lines, of answers that end in one without a stop, that are not cut off."""
     asked = base.where(F.col("cut") == ASK).select("line").distinct()
     seen = base.select(F.explode("lines").alias("x")).groupBy(F.col("x.line").alias("line")).agg(F.sum(F.col("x.closes").cast("bigint")).alias("closed"), F.sum((~F.col("x.closes")).cast("bigint")).alias("inner"))
     closing = seen.where("closed > 0 and closed >= inner").select("line")
-    longer = closing.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("line") - 1)), lambda n: F.substring("line", F.lit(1), n))).alias("line")).distinct()
+    longer = _begun(asked, closing)
     judged = asked.join(seen, "line", "left").join(longer.withColumn("longer", F.lit(True)), "line", "left")
     closes = F.coalesce((F.col("closed") > 0) & (F.col("closed") >= F.col("inner")), F.lit(False))
     return judged.where(closes | (F.col("closed").isNull() & F.col("longer").isNull())).select("line")
