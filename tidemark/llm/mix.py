@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,20 +35,23 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BITS, STEP = 60, 12
 
 
+#: Bytes of a vocabulary that may be sent to every executor.
+MOST_VOCABULARY = 64 << 20
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(number: int, vocabulary: Broadcast):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(path: str):
+def _count(vocabulary: Broadcast):
     schema = pa.schema([("key", pa.int64()), ("source", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(path)
+        encoding = _encoding(id(vocabulary), vocabulary)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source").cast(pa.string()), pa.array([len(encoding.encode_ordinary(t)) for t in b.column("text").to_pylist()], pa.int64())], schema=schema)
 
@@ -55,9 +59,16 @@ def _count(path: str):
 
 
 def token_counts(df: DataFrame, key: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, source, tokens, h): tokens of the whole text and the hash of the key."""
+    """(key, source, tokens, h): tokens of the whole text and the hash of the key.
+
+    The vocabulary is read where this is called and sent to the executors.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read(MOST_VOCABULARY + 1)
+    if len(vocabulary) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes")
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where("key is not null and source is not null and text is not null")
-    counted = rows.mapInArrow(_count(tokenizer), "key bigint, source string, tokens bigint")
+    counted = rows.mapInArrow(_count(df.sparkSession.sparkContext.broadcast(vocabulary)), "key bigint, source string, tokens bigint")
     return counted.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - BITS))
 
 
@@ -107,7 +118,7 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, *
     """The mix (key, source, tokens, copies) and its report, one row per source of the targets.
 
     The report has target_share, share (relative to the sources with tokens), max_repeats, documents, available,
-    budget, used_documents, used_tokens, actual_share and most_copies. ``all_tokens`` sets the total to all tokens.
+    budget, used_documents, used_tokens, actual_share, most_copies and shortfall, the tokens missing to its budget. ``all_tokens`` sets the total to all tokens.
     Targets are settings, one row per source; more than ``BROADCAST_ROWS`` of them are refused.
     """
     if targets.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -127,5 +138,5 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, *
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("used_documents"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     report = sources.join(used, "source", "left").na.fill(0, ["used_documents", "used_tokens", "most_copies"])
     whole = F.sum("used_tokens").over(W.partitionBy())
-    report = report.withColumn("actual_share", F.when(whole > 0, F.col("used_tokens") / whole)).drop("full", "below")
+    report = report.withColumn("actual_share", F.when(whole > 0, F.col("used_tokens") / whole)).withColumn("shortfall", F.col("budget") - F.col("used_tokens")).drop("full", "below")
     return mixed, report
