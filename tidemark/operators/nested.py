@@ -11,7 +11,7 @@ unknown target, or one that is already being expanded further out, adds nothing.
 
 Defined results: null, unreadable or non-object JSON has no nodes; members of an unexpected type (null
 operations, lists instead of objects) are passed over; a null member of ``properties`` is a field without
-children; repeated records are labelled each for itself.
+children; repeated records are labelled and reported each for itself, and so are records with a null key.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 METHODS = ("get", "post", "put", "patch", "delete")
 _GROUPS = ("allOf", "oneOf", "anyOf")
 _REF = "#/components/schemas/"
-_NODE = pa.schema([("record", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("type", pa.string()), ("name", pa.string()), ("field_path", pa.string()), ("required", pa.bool_()), ("description", pa.string())])
-_NODE_DDL = "record bigint, pre int, post int, depth int, type string, name string, field_path string, required boolean, description string"
+_NODE = pa.schema([("row", pa.int64()), ("record", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("type", pa.string()), ("name", pa.string()), ("field_path", pa.string()), ("required", pa.bool_()), ("description", pa.string())])
+_NODE_DDL = "row bigint, record bigint, pre int, post int, depth int, type string, name string, field_path string, required boolean, description string"
 
 
 #: A child of a node: its values (depth, type, name, field_path, required, description) and its own children.
@@ -195,11 +195,11 @@ def _label(kinds: frozenset[str]):
             return made
 
         for b in batches:
-            for record, text in zip(b.column("record").to_pylist(), b.column("text").to_pylist()):
+            for no, record, text in zip(*[b.column(c).to_pylist() for c in ("row", "record", "text")]):
                 if (spec := read_spec(text)) is not None:
                     for row in walk(spec):
                         if not kinds or row[3] in kinds:
-                            out.append((record, *row))
+                            out.append((no, record, *row))
                             if len(out) >= 20_000:
                                 yield emit()
         if out:
@@ -209,17 +209,19 @@ def _label(kinds: frozenset[str]):
 
 
 def label_nodes(df: DataFrame, record: str, text: str, *kinds: str) -> DataFrame:
-    """(record, pre, post, depth, type, name, field_path, required, description): all nodes of all records.
+    """(row, record, pre, post, depth, type, name, field_path, required, description): all nodes of all records.
+
+    ``row`` tells input rows apart, of equal or null records too.
 
     With ``kinds`` only nodes of these types come out; labels are the same.
     """
-    rows = df.select(F.col(record).cast("bigint").alias("record"), F.col(text).alias("text")).where("text is not null")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(record).cast("bigint").alias("record"), F.col(text).alias("text")).where("text is not null")
     return rows.mapInArrow(_label(frozenset(kinds)), _NODE_DDL)
 
 
 def node_table(nodes: DataFrame, kind: str) -> DataFrame:
     """The table of one type: path, operation, body, media or field."""
-    return nodes.where(F.col("type") == kind).drop("type")
+    return nodes.where(F.col("type") == kind).drop("type", "row")
 
 
 def enclose(nodes: DataFrame, inner: str, *outer: str) -> DataFrame:
@@ -228,10 +230,10 @@ def enclose(nodes: DataFrame, inner: str, *outer: str) -> DataFrame:
     In pre-order the last outer node before a node is the only one of its type (outer types don't nest) that can
     hold it; so one pass over each record's nodes replaces a range join, and the interval test decides.
     """
-    order = W.partitionBy("record").orderBy("pre").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("row").orderBy("pre").rowsBetween(W.unboundedPreceding, 0)
     kept = nodes.where(F.col("type").isin(inner, *outer))
     for o in outer:
-        kept = kept.withColumn(o, F.last(F.when(F.col("type") == o, F.struct("pre", "post", "name")), ignorenulls=True).over(order))
+        kept = kept.withColumn(o, F.last(F.when(F.col("type") == o, F.struct("pre", "post", "name", "required")), ignorenulls=True).over(order))
     found = kept.where(F.col("type") == inner)
     for o in outer:
         found = found.where((F.col(f"{o}.pre") < F.col("pre")) & (F.col("post") < F.col(f"{o}.post")))
@@ -239,6 +241,7 @@ def enclose(nodes: DataFrame, inner: str, *outer: str) -> DataFrame:
 
 
 def body_fields(df: DataFrame, record: str, text: str) -> DataFrame:
-    """(record, path, method, field_path), distinct: the fields of the request bodies of all operations."""
+    """(record, path, method, field_path): the fields of the request bodies of all operations, distinct in each row."""
     fields = enclose(label_nodes(df, record, text, "path", "operation", "field"), "field", "path", "operation")
-    return fields.select("record", F.col("path.name").alias("path"), F.col("operation.name").alias("method"), "field_path").distinct()
+    found = fields.select("row", "record", F.col("path.name").alias("path"), F.col("operation.name").alias("method"), "field_path").distinct()
+    return found.drop("row")

@@ -296,4 +296,7 @@ ORACLE: dict[str, str] = {
     "ingest_body_fields": f"WITH {SPEC} SELECT * FROM bodies",
     "ingest_documents": f"WITH {INGESTED} SELECT * FROM doc",
     "p6_found": f"WITH {NESTED} SELECT DISTINCT spec_id, path, method, field AS field_path FROM w WHERE field IS NOT NULL",
+    "p6_paths_per_spec": f"WITH {NESTED} SELECT spec_id, count(*) AS paths FROM pa GROUP BY spec_id",
+    "p6_operation_list": f"WITH {NESTED} SELECT spec_id, path, method, json_extract_string(CASE WHEN json_type(o, '$.summary') = 'VARCHAR' THEN o END, '$.summary') AS summary FROM op",
+    "p6_media_list": f"WITH {NESTED} SELECT spec_id, path, method, media, coalesce(required, false) AS required FROM med",
 }

@@ -490,9 +490,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_operations(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of operations with the path that holds each and the number of its body fields."""
     nodes = label_nodes(table(spark, d, "specs"), "spec_id", "spec_json", "path", "operation", "field")
-    fields = enclose(nodes, "field", "operation").groupBy("record", F.col("operation.pre").alias("pre")).agg(F.count(F.lit(1)).alias("fields"))
-    found = enclose(nodes, "operation", "path").select("record", "pre", "post", F.col("path.name").alias("path"), F.col("name").alias("method"), F.col("description").alias("summary"))
-    return found.join(fields, ["record", "pre"], "left").na.fill(0, ["fields"]).withColumnRenamed("record", "spec_id")
+    fields = enclose(nodes, "field", "operation").groupBy("row", F.col("operation.pre").alias("pre")).agg(F.count(F.lit(1)).alias("fields"))
+    found = enclose(nodes, "operation", "path").select("row", "record", "pre", "post", F.col("path.name").alias("path"), F.col("name").alias("method"), F.col("description").alias("summary"))
+    return found.join(fields, ["row", "pre"], "left").na.fill(0, ["fields"]).drop("row").withColumnRenamed("record", "spec_id")
 
 
 def p6_media(spark: SparkSession, d: str) -> DataFrame:
@@ -507,6 +507,20 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return node_table(nodes, "path").select(F.col("record").alias("spec_id"), "pre", "post", F.col("name").alias("path"))
 
 
+def p6_paths_per_spec(spark: SparkSession, d: str) -> DataFrame:
+    return p6_paths(spark, d).groupBy("spec_id").agg(F.count(F.lit(1)).alias("paths"))
+
+
+def p6_operation_list(spark: SparkSession, d: str) -> DataFrame:
+    """The table of operations without its labels."""
+    return p6_operations(spark, d).select("spec_id", "path", "method", "summary")
+
+
+def p6_media_list(spark: SparkSession, d: str) -> DataFrame:
+    """The table of media types without its labels."""
+    return p6_media(spark, d).select("spec_id", "path", "method", "media", "required")
+
+
 _COUNTERS = {f"comparisons_{n}": _comparisons(*how) for n, how in {"topk": ("topk", "merge"), "topk_indexed": ("topk", "merge", "indexed"), "kheap": ("heap", "merge"), "quick": ("sort", "quick"), "heapsort": ("sort", "heap"), "merge": ("sort", "merge"), "std": ("sort", "std")}.items()}
 _OWN = [f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN} | _COUNTERS
