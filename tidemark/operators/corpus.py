@@ -50,31 +50,39 @@ def doc_terms(docs: DataFrame) -> DataFrame:
     return cut.select("doc_pos", "field", "fpos", F.explode(runs).alias("r")).select("doc_pos", "field", "fpos", "r.term", "r.tf")
 
 
-def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, idf): documents that hold the term, and ln(N / df)."""
-    held = F.array_distinct(F.concat(*FIELDS))
-    df = tokenised(docs).select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_stats(docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf): documents that hold the term, and ln(N / df); from the index if it is at hand."""
+    if index is None:
+        held = tokenised(docs).select(F.explode(F.array_distinct(F.concat(*FIELDS))).alias("term"))
+    else:
+        held = index.select(F.explode("terms.term").alias("term"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln(F.col("n") / F.col("df")).alias("idf"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_pos, tfs): for each term and document the frequencies in its fields, ARRAY<STRUCT<fpos, tf>>.
-
-    Grouped inside each document, so without a shuffle; terms of a document stay in its partition.
-    """
+def forward_index(docs: DataFrame) -> DataFrame:
+    """(doc_pos, id, len, terms): of each document its terms with their frequencies by field,
+    ARRAY<STRUCT<term, tfs: ARRAY<STRUCT<fpos, tf>>>>, sorted by term. Made inside the row."""
     rows = tokenised(docs)
     marked = lambda name, fpos: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(fpos).alias("fpos")))
     whole = F.array_sort(F.flatten(F.array(*[marked(n, i) for i, n in enumerate(FIELDS)])))
-    held = rows.select("doc_pos", F.explode(F.array(whole)).alias("s")).where(F.size("s") > 0)
-    change = lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))
-    cut = held.select("doc_pos", "s", F.explode(F.array(F.filter(F.sequence(F.lit(0), F.size("s") - 1), change))).alias("first"))
+    key = ["doc_pos", "id", "len"]
+    held = rows.select(*key, F.explode(F.array(whole)).alias("s"))
+    places = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places("s"), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    cut = held.select(*key, "s", F.explode(F.array(first)).alias("first"))
     runs = F.transform("first", lambda at, j: F.struct(F.get("s", at)["term"].alias("term"), F.get("s", at)["fpos"].alias("fpos"), (F.coalesce(F.get("first", j + 1), F.size("s")) - at).cast("bigint").alias("tf")))
-    got = cut.select("doc_pos", F.explode(F.array(runs)).alias("r"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == 0) | (F.get("r", i)["term"] != F.get("r", i - 1)["term"]))
-    placed = got.select("doc_pos", "r", F.explode(F.array(starts)).alias("at"))
+    got = cut.select(*key, F.explode(F.array(runs)).alias("r"))
+    starts = F.filter(places("r"), lambda i: (i == 0) | (F.get("r", i)["term"] != F.get("r", i - 1)["term"]))
+    placed = got.select(*key, "r", F.explode(F.array(starts)).alias("at"))
     per = F.transform("at", lambda p, j: F.struct(F.get("r", p)["term"].alias("term"), F.transform(F.slice("r", p + 1, F.coalesce(F.get("at", j + 1), F.size("r")) - p), lambda x: F.struct(x["fpos"].alias("fpos"), x["tf"].alias("tf"))).alias("tfs")))
-    return placed.select("doc_pos", F.explode(per).alias("p")).select("p.term", "doc_pos", "p.tfs")
+    return placed.select(*key, per.alias("terms"))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(term, doc_pos, id, len, tfs) of a forward index; the terms of a document stay in its partition."""
+    return index.select("doc_pos", "id", "len", F.explode("terms").alias("t")).select("t.term", "doc_pos", "id", "len", "t.tfs")
 
 
 def posting_lists(docs: DataFrame, block: int = 100_000) -> DataFrame:
@@ -88,7 +96,7 @@ def posting_lists(docs: DataFrame, block: int = 100_000) -> DataFrame:
 
 def write_index(docs: DataFrame, path: str) -> None:
     """Postings as Parquet, clustered by term: a search for few terms reads few row groups."""
-    postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_pos").write.mode("overwrite").parquet(path)
+    postings(forward_index(docs)).repartitionByRange("term").sortWithinPartitions("term", "doc_pos").write.mode("overwrite").parquet(path)
 
 
 def word_stats(docs: DataFrame, words: str = "words") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import platform
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +48,21 @@ def conditions(spark: SparkSession, names: str = "A,B,C,D") -> DataFrame:
     return spark.createDataFrame([c for c in CONDITIONS if c[0] in wanted], "name string, k int, related int, hops int, plan boolean")
 
 
+def hardware(spark: SparkSession, root: str = "/proc") -> DataFrame:
+    """(cpu, cores, memory_gib, os): the machine of the driver, one row; what can't be read is null."""
+
+    def told(name: str, key: str) -> str | None:
+        try:
+            lines = Path(root, name).read_text().splitlines()
+        except OSError:
+            return None
+        return next((x.split(":", 1)[1].strip() for x in lines if x.split(":", 1)[0].strip() == key), None)
+
+    kb = told("meminfo", "MemTotal")
+    row = (told("cpuinfo", "model name"), os.cpu_count(), round(int(kb.split()[0]) / 2**20, 1) if kb else None, platform.system().lower())
+    return spark.createDataFrame([row], "cpu string, cores int, memory_gib double, os string")
+
+
 def run_statistics(runs: DataFrame) -> DataFrame:
     """(cenario, runs, found, mean_rank, median_us, min_us, max_us) of every scenario; nulls don't count."""
     place = F.when(F.col("posicao") > 0, F.col("posicao"))

@@ -29,7 +29,8 @@ def reach(graph: Graph, hits: DataFrame, *, method: str = "bfs", hops: int = HOP
     bound is none. Hops and cost are those of the nearest hit.
     """
     v = graph.vertices
-    seeds = graph.seeds(hits).select("qid", "vertex").join(v.select("vertex", "segments"), "vertex")
+    # the hits, k for each query, are looked at twice: they are found once
+    seeds = checkpoint(graph.seeds(hits).select("qid", "vertex").join(v.select("vertex", "segments"), "vertex"))
     # steps between resources that the bound leaves after leaving the hit's operation
     dijkstra = method == "dijkstra"
     bound = budget if dijkstra else hops

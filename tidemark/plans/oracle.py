@@ -8,6 +8,7 @@ plain versions.
 from __future__ import annotations
 
 from ..functions.calls import METHODS, PLAIN, SHOWN, _curl, HOST
+from ..operators.render import NO_TERMS, PLANS_HEAD, RELATED_HEAD
 from ..functions.text import IN_ENGLISH, IN_PORTUGUESE, PORTUGUESE, PORTUGUESE_LETTERS, STOPWORDS
 
 SP = r"[\t\n\f\r ]"
@@ -212,6 +213,19 @@ w(spec_id, path, method, prefix, v, refs, field) AS (
     UNION ALL
     SELECT w.spec_id, w.path, w.method, w.prefix, x.value, w.refs, NULL FROM w, (SELECT unnest(['$.allOf', '$.oneOf', '$.anyOf']) AS g) g, json_each(w.v, g.g) x WHERE json_type(w.v) = 'OBJECT' AND coalesce(json_type(w.v, '$."$ref"'), '') <> 'VARCHAR' AND json_type(w.v, g.g) = 'ARRAY'))"""
 
+def truncated(c: str, most: int) -> str:
+    """A text, not null, cut to so many bytes at its last space within them; columns t, head and cut come from a subquery."""
+    return f"CASE WHEN octet_length(encode(t)) > {most} THEN CASE WHEN regexp_matches(head, '(?s)^.+ [^ ]*$') THEN regexp_extract(head, '(?s)^(.+) [^ ]*$', 1) ELSE head END || ' […]' ELSE t END"
+
+
+def headed(rows: str, c: str, most: int) -> str:
+    """rows with t, the text, and head, its whole characters within so many bytes."""
+    return f"(SELECT *, coalesce(array_to_string(list_transform(list_filter(list_zip(string_split(left(t, {most}), ''), range(1, {most + 1})), lambda z: z[1] IS NOT NULL AND octet_length(encode(left(t, z[2]))) <= {most}), lambda z: z[1]), ''), '') AS head FROM (SELECT *, coalesce({c}, '') AS t FROM {rows}))"
+
+
+BYID = "di AS (SELECT id, arg_min({method: method, path: path, summary: summary, docs_url: docs_url}, doc_pos) AS d FROM raw_documents WHERE id IS NOT NULL GROUP BY id)"
+NL = "chr(10)"
+
 STATED = [("repeated", "list branches list"), ("plain", "How do I create a webhook in a space?"), ("identifier", "delete branch_id per_page"), ("unknown", "xyzzy"), ("stopwords", "the of"), ("empty", "")]
 _SEEDED = "sv AS (SELECT vertex FROM v WHERE kind = 0 AND len(segs) = 1)"
 _NAMES = "['contains', 'within', 'exposes', 'exposed_by', 'depends_on']"
@@ -224,7 +238,7 @@ ORACLE: dict[str, str] = {
     "path_word_list": f"SELECT doc_pos, {path_words('path')} AS words FROM raw_documents",
     "compose_text": f"SELECT doc_pos, {composed('raw_documents', f'coalesce(list_transform(list_concat(params, body), {_FIELD}), [])')} AS text FROM raw_documents",
     "word_stats": f"SELECT sum(n)::BIGINT AS total, min(n)::BIGINT AS min, median(n)::DOUBLE AS median, round(avg(n) * 100) / 100 AS mean, max(n)::BIGINT AS max FROM (SELECT len({word_list('text')}) AS n FROM raw_documents)",
-    "truncate_text": "SELECT doc_pos, CASE WHEN octet_length(encode(t)) > 200 THEN CASE WHEN cut[1] <> '' THEN cut[1] ELSE cut[2] END || ' […]' ELSE t END AS text, t AS whole FROM (SELECT *, [regexp_extract(head, '(?s)^(.+) [^ ]*$', 1), head] AS cut FROM (SELECT doc_pos, coalesce(text, '') AS t, coalesce(array_to_string(list_transform(list_filter(list_zip(string_split(left(text, 200), ''), range(1, 201)), lambda z: z[1] IS NOT NULL AND octet_length(encode(left(text, z[2]))) <= 200), lambda z: z[1]), ''), '') AS head FROM raw_documents))",
+    "truncate_text": f"SELECT doc_pos, {truncated('text', 200)} AS text, t AS whole FROM {headed('raw_documents', 'text', 200)}",
     "clean_queries": "SELECT record_id, {} AS query, {} AS asked FROM llm_records".format(*[trim_any(f"regexp_replace(lower(regexp_replace({x}, {lit('^[' + chr(34) + chr(39) + '`.“”]+|[' + chr(34) + chr(39) + '`.“”]+$')}, '', 'g')), '^query:', '')") for x in ("'\"Query: ' || coalesce(consulta, '') || '.\"'", "regexp_replace('\"Query: ' || coalesce(pergunta, '') || '.\"', '(?s)\\n.*$', '')")]),
     "language_rule": f"SELECT record_id, CASE WHEN list_has_any(list_transform({word_list('lower(pergunta)')}, lambda w: regexp_replace(w, '^[?!.,;:]+|[?!.,;:]+$', '', 'g')), {words(PORTUGUESE)}) OR regexp_matches(coalesce(pergunta, ''), '[{PORTUGUESE_LETTERS}]') THEN {lit(IN_PORTUGUESE)} ELSE {lit(IN_ENGLISH)} END AS told FROM llm_records",
     "loop_detector": f"SELECT record_id, {_looping('t')} AS looping, {_looping('repeat(t, 4)')} AS repeated FROM (SELECT record_id, coalesce(resposta, '') AS t FROM llm_records)",
@@ -244,6 +258,18 @@ ORACLE: dict[str, str] = {
     "search_empty_query": f"WITH {scored(stated(STATED))}, {_STATS} SELECT qid, candidates, empty_query FROM st",
     "search_context_join": f"WITH {hits()} SELECT h.qid, h.rank, h.id, r.method, r.path, r.text, r.docs_url FROM h JOIN r USING (doc_pos)",
     "score_bars": "SELECT hit_id, round(100 * score / CASE WHEN m = 0 THEN 1 ELSE m END, 6) AS bar FROM (SELECT hit_id, score, max(score) OVER (PARTITION BY run_id) AS m FROM hits WHERE score IS NOT NULL AND NOT isnan(score))",
+    "render_results": f"""WITH {hits(3)}, x AS (SELECT h.qid, h.rank, r.method, r.path, r.docs_url, r.text FROM h JOIN r USING (doc_pos)),
+y AS (SELECT qid, string_agg('[' || rank || '] ' || coalesce(method, '') || ' ' || coalesce(path, '') || {NL} || {truncated('text', 400)} || {NL} || 'Docs: ' || coalesce(docs_url, '') || {NL} || {NL}, '' ORDER BY rank) AS body, count(*) AS n FROM {headed('x', 'text', 400)} GROUP BY qid)
+SELECT q.qid, CASE WHEN len({tok('q.query')}) = 0 THEN {lit(NO_TERMS)} WHEN y.n IS NULL THEN 'No API operation matches "' || q.query || '". Try other words for the resource or the action.' ELSE y.n || ' REST API operations for "' || q.query || '", most relevant first:' || {NL} || {NL} || body END AS shown FROM q LEFT JOIN y USING (qid)""",
+    "render_related": f"WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {BFS}, {RELATED}, {BYID} SELECT qid, {lit(RELATED_HEAD)} || string_agg('- ' || coalesce(d.method, '') || ' ' || coalesce(d.path, '') || ': ' || coalesce(d.summary, '') || '. Docs: ' || coalesce(d.docs_url, '') || {NL}, '' ORDER BY pos) || {NL} AS shown FROM rel JOIN di USING (id) WHERE pos <= 3 GROUP BY qid",
+    "render_plans": f"""WITH {hits()}, {GRAPH}, {STEPS}, {BYID}, ps AS (SELECT qid, rank, len(steps) AS n, unnest(range(1, len(steps) + 1)) AS i, unnest(steps) AS id FROM plan WHERE len(steps) > 1),
+pc AS (SELECT ps.*, di.d.method || ' ' || di.d.path AS call FROM ps JOIN di USING (id)), pb AS (SELECT qid, rank, 'For [' || rank || '] ' || max(call) FILTER (i = n) || ':' || {NL} || string_agg('  ' || i || '. ' || call || {NL}, '' ORDER BY i) || {NL} AS block FROM pc GROUP BY qid, rank)
+SELECT qid, {lit(PLANS_HEAD)} || string_agg(block, '' ORDER BY rank) AS shown FROM pb GROUP BY qid""",
+    "tree_operations": f"""WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {BFS}, {RELATED}, {STEPS}, {BYID},
+x AS (SELECT h.qid, upper(r.method) AS method, r.path, h.rank, round(h.score, 6) AS score, NULL::BIGINT AS hops, false AS pre FROM h JOIN r USING (doc_pos) UNION ALL SELECT qid, upper(d.method), d.path, NULL, NULL, hops, false FROM rel JOIN di USING (id) WHERE pos <= 3
+  UNION ALL SELECT qid, upper(d.method), d.path, NULL, NULL, NULL, true FROM (SELECT qid, unnest(steps[1:len(steps) - 1]) AS id FROM plan WHERE len(steps) > 1) JOIN di USING (id)),
+a AS (SELECT consulta AS qid, max(resposta) AS t FROM llm_records WHERE consulta IS NOT NULL GROUP BY consulta)
+SELECT x.qid, method, path, max(rank) AS rank, max(score) AS score, max(hops) AS hops, bool_or(pre) AS prerequisite, coalesce(method || ' ' || path = regexp_extract(any_value(a.t), {lit(SHOWN)}, 1) || ' ' || regexp_extract(any_value(a.t), {lit(SHOWN)}, 2), false) AS answer FROM x LEFT JOIN a USING (qid) GROUP BY x.qid, method, path""",
     "graph_vertices": f"WITH {GRAPH} SELECT vertex, kind::BIGINT AS kind, label, id, doc_pos FROM v",
     "graph_edges": f"WITH {GRAPH} SELECT src, dst, kind::BIGINT AS kind, weight FROM e",
     "graph_edge_counts": f"WITH {GRAPH} SELECT {_NAMES}[kind + 1] AS kind, count(*) AS edges, sum(weight) AS weight FROM e GROUP BY ALL",
@@ -294,6 +320,7 @@ ORACLE: dict[str, str] = {
     "ingest_extract": f"WITH {SPEC} SELECT * FROM ops",
     "ingest_params": f"WITH {SPEC} SELECT * FROM params",
     "ingest_body_fields": f"WITH {SPEC} SELECT * FROM bodies",
+    "ingest_manifest": f"WITH {INGESTED}, n AS (SELECT len({word_list('text')}) AS n FROM doc) SELECT '{{{{\"spec\":\"all\",\"version\":\"1\",\"license\":\"\",\"docs\":' || count(*) || ',\"words\":' || sum(n) || ',\"words_per_doc\":{{{{\"min\":' || min(n) || ',\"median\":' || median(n)::DOUBLE || ',\"mean\":' || round(avg(n) * 100) / 100 || ',\"max\":' || max(n) || '}}}},\"stage_ms\":{{{{}}}},\"generated_at\":\"\"}}}}' AS manifest FROM n".replace("{{", "{").replace("}}", "}"),
     "ingest_documents": f"WITH {INGESTED} SELECT * FROM doc",
     "p6_found": f"WITH {NESTED} SELECT DISTINCT spec_id, path, method, field AS field_path FROM w WHERE field IS NOT NULL",
     "p6_paths_per_spec": f"WITH {NESTED} SELECT spec_id, count(*) AS paths FROM pa GROUP BY spec_id",

@@ -16,7 +16,7 @@ from ..functions.text import clean_query, clean_text, is_looping, language_order
 from ..operators import corpus, evaluate, graph, render, reports, traverse
 from ..operators.nested import body_fields, enclose, label_nodes, node_table
 from ..operators.search import Engine, Options, with_context
-from ..session import table
+from ..session import checkpoint, table
 from ..sources.files import csv_line, manifest
 from ..sources.logs import duration, parse_runs, trimmed
 from ..sources.specs import clean_documents, extract_operations
@@ -47,6 +47,11 @@ def _engine(spark: SparkSession, d: str, **options) -> Engine:
 
 
 def _hits(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """The k best documents of every query, searched when this is called."""
+    return checkpoint(_found(spark, d, k))
+
+
+def _found(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     return _engine(spark, d).search(_asked(spark, d), "qid", "query", k=k, digits=RANKED)
 
 
@@ -133,7 +138,7 @@ def postings_per_term(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_hits(spark, d, 10))
+    return _shown(_found(spark, d, 10))
 
 
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +203,31 @@ def render_results(spark: SparkSession, d: str) -> DataFrame:
     return render.rendered(told, with_context(engine.search(asked, "qid", "query", k=3, digits=RANKED), _docs(spark, d)), 400)
 
 
+def _by_id(docs: DataFrame) -> DataFrame:
+    """The first document of every id."""
+    return docs.where("id is not null").groupBy("id").agg(F.min_by(F.struct("method", "path", "summary", "docs_url"), "doc_pos").alias("d")).select("id", "d.*")
+
+
+def render_related(spark: SparkSession, d: str) -> DataFrame:
+    return render.rendered_related(traverse.expand(_reach(spark, d, "bfs")[1], 3), _by_id(_docs(spark, d)))
+
+
+def render_plans(spark: SparkSession, d: str) -> DataFrame:
+    return render.rendered_plans(_plans(spark, d), _by_id(_docs(spark, d)))
+
+
+def tree_operations(spark: SparkSession, d: str) -> DataFrame:
+    """What the searches gave, one row for each query, method and path."""
+    docs, hits, g = _docs(spark, d), _hits(spark, d), _graph(spark, d)
+    one = _by_id(docs).select("id", "method", "path")
+    results = with_context(hits, docs).select("qid", "method", "path", "rank", F.round("score", SHOWN).alias("score"))
+    related = traverse.expand(traverse.reach(g, hits), 3).join(one, "id").select("qid", "method", "path", "hops")
+    steps = traverse.needing(traverse.call_plans(g, hits)).select("qid", F.explode(F.slice("steps", 1, F.size("steps") - 1)).alias("id")).join(one, "id").select("qid", "method", "path")
+    told = table(spark, d, "llm_records").where("consulta is not null").groupBy(F.col("consulta").alias("qid")).agg(F.max("resposta").alias("answer"))
+    rows = reports.tree_operations(results, related, steps, told)
+    return rows.select("qid", "method", "path", F.col("rank").cast("bigint").alias("rank"), "score", F.col("hops").cast("bigint").alias("hops"), "prerequisite", "answer")
+
+
 # ---- graph
 
 
@@ -241,7 +271,7 @@ def depends_on_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _reach(spark: SparkSession, d: str, method: str) -> tuple[graph.Graph, DataFrame]:
     g = _graph(spark, d)
-    return g, traverse.reach(g, _hits(spark, d), method=method)
+    return g, traverse.reach(g, _found(spark, d), method=method)
 
 
 def expand_bfs_h3(spark: SparkSession, d: str) -> DataFrame:
@@ -253,16 +283,13 @@ def expand_dijkstra_b3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for method in ("bfs", "dijkstra"):
-        g, reached = _reach(spark, d, method)
-        one = traverse.expand_stats(g, reached, method=method).select("qid", F.lit(method).alias("method"), "visited", "scanned")
-        out = one if out is None else out.unionByName(one)
-    return out
+    g, hits = _graph(spark, d), _hits(spark, d)
+    one = lambda method: traverse.expand_stats(g, traverse.reach(g, hits, method=method), method=method).select("qid", F.lit(method).alias("method"), "visited", "scanned")
+    return one("bfs").unionByName(one("dijkstra"))
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.call_plans(_graph(spark, d), _hits(spark, d))
+    return traverse.call_plans(_graph(spark, d), _found(spark, d))
 
 
 def call_plans(spark: SparkSession, d: str) -> DataFrame:
