@@ -1,13 +1,28 @@
-"""The entry point of the driver."""
+"""The entry points of the driver."""
 
 from __future__ import annotations
 
+import sys
+
+import pytest
+
 import __spark_entry__
 
 
-def test_entry_names_a_registered_query(spark):
+def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_every_problem_with_a_list_of_cases_has_its_query():
-    assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 8, 10)} <= set(__spark_entry__.queries())
+def test_every_sql_belongs_to_a_query():
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_a_missing_subpackage_is_passed_over(monkeypatch):
+    from tidemark.plans.queries import QUERIES
+
+    monkeypatch.setattr(__spark_entry__, "OWN", "tidemark.absent")
+    assert __spark_entry__.queries() == QUERIES
+    monkeypatch.setattr(__spark_entry__, "OWN", "tidemark.plans")
+    monkeypatch.setitem(sys.modules, "tidemark.plans.sql", None)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.oracle_sql()
