@@ -74,11 +74,12 @@ def test_corpus(docs, rows):
     assert {(r.term, r.doc_pos) for r in corpus.postings(index).collect()} == {(r.term, p) for r in lists for p in r.positions}
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
 @pytest.mark.parametrize("k", [0, 1, 5, 500])
-def test_batch_search_is_the_plain_search(spark, docs, rows, k):
+def test_batch_search_is_the_plain_search(spark, docs, rows, k, most):
     queries = spark.createDataFrame(QUERIES, "qid string, text string")
     got = {}
-    for r in Engine(docs, Options(config="indexed")).search(queries, "qid", "text", k=k).collect():
+    for r in Engine(docs, Options(config="indexed"), most).search(queries, "qid", "text", k=k).collect():
         got.setdefault(r.qid, []).append((r["rank"], r.doc_pos, r.score))
     want = {q: plain(rows, t)[:k] for q, t in QUERIES}
     assert {q: [d for _, d, _ in sorted(h)] for q, h in got.items()} == {q: [h[3] for h in hs] for q, hs in want.items() if hs}
@@ -91,13 +92,24 @@ def test_scan_and_index_agree_bit_for_bit(spark, docs):
     one = {(r.qid, r.doc_pos): r.score for r in engine.scan(QUERIES).collect()}
     two = {(r.qid, r.doc_pos): r.score for r in engine.matches(queries, "qid", "text").collect()}
     assert one == two and one
+    assert one == {(r.qid, r.doc_pos): r.score for r in engine.search(queries, "qid", "text", k=500).collect()}
     assert one == {(r.qid, r.doc_pos): r.score for r in engine.persist().matches(queries, "qid", "text").collect()}
     engine.unpersist()
 
 
-def test_statistics_of_queries(spark, docs, rows):
+def test_chunks_of_a_shard(docs, rows, monkeypatch):
+    from tidemark.operators import scorer
+
+    index = corpus.forward_index(docs).toArrow().to_batches()
+    assert sum(map(len, scorer._chunks(iter(index)))) == len(rows)
+    monkeypatch.setattr(scorer, "CHUNK", 7)
+    assert [len(c) for c in scorer._chunks(b for i in index for b in (i.slice(n, 3) for n in range(0, len(i), 3)))][:2] == [9, 9]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_statistics_of_queries(spark, docs, rows, most):
     queries = spark.createDataFrame(QUERIES, "qid string, text string")
-    got = {r.qid: (r.n, r.candidates, r.empty_query, r.selection) for r in Engine(docs, Options(select="sort")).query_stats(queries, "qid", "text").collect()}
+    got = {r.qid: (r.n, r.candidates, r.empty_query, r.selection) for r in Engine(docs, Options(select="sort"), most).query_stats(queries, "qid", "text").collect()}
     assert got == {q: (len(rows), len(plain(rows, t)), not words(t), "sort/merge") for q, t in QUERIES}
 
 
