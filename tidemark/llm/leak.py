@@ -15,6 +15,7 @@ repeated documents are reported each for itself; empty tables give an empty tabl
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookalike import consistent, to_latin
+from .lookalike import consistent, latin_alone, to_latin
 
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
@@ -43,6 +44,8 @@ def words(text: str | None) -> list[str]:
         return []
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
+    if latin_alone(text):
+        return _WORD.findall(unicodedata.normalize("NFC", text).lower())
     return _WORD.findall(to_latin(consistent(text).lower()))
 
 

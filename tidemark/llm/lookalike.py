@@ -52,6 +52,8 @@ _PLAIN = _SPACES | _WIDTH | _LOOK
 _HAS_PLAIN = re.compile("[" + "".join(map(chr, sorted(_PLAIN))) + "]")
 _HAS_LATIN = re.compile("[" + "".join(map(chr, sorted(_LATIN))) + "]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
+_USUAL = frozenset(map(chr, [*range(128), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x2122]))
+_UNUSUAL = frozenset(c for c in map(chr, range(0x80, 0x370)) if ord(c) in _PLAIN or _INVISIBLE.fullmatch(c))
 _NO_JOINER = re.compile(f"[{INVISIBLE}]")
 _JOINED = re.compile(f"(?<=[{JOINING}])[\u200c\u200d](?=[{JOINING}])")
 _OTHER = re.compile("[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f\u0530-\u058f\u13a0-\u13ff\ua4d0-\ua4ff]")
@@ -109,10 +111,18 @@ def to_latin(text: str) -> str:
     return text.translate(_LATIN) if _HAS_LATIN.search(text) else text
 
 
+def latin_alone(text: str) -> bool:
+    """Whether no character can need more than composition: Latin letters with or without accents, and usual signs."""
+    seen = set(text) - _USUAL
+    return not seen or max(seen) < "\u0370" and _UNUSUAL.isdisjoint(seen)
+
+
 def consistent(text: str | None) -> str | None:
     """The one consistent form of a text."""
     if text is None or text.isascii():
         return text
+    if latin_alone(text):
+        return unicodedata.normalize("NFC", text)
     look = glyphs(text)
     if not _OTHER.search(look):  # no glyph that only another script has: all of it is Latin
         return unicodedata.normalize("NFC", look)
