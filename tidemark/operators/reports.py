@@ -18,12 +18,17 @@ CONDITIONS = [("A", 5, 0, 0, False), ("B", 5, 5, 3, False), ("C", 10, 0, 0, Fals
 METHOD_ORDER = ("GET", "POST", "PUT", "PATCH", "DELETE")
 
 
+def _settings(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of settings, in one partition."""
+    return spark.createDataFrame(rows, ddl).coalesce(1)
+
+
 def scenario_matrix(spark: SparkSession) -> DataFrame:
     """(name, preset, select, order_strategy, k, limit, repetitions): presets by size, and all selections by k; distinct."""
-    presets = spark.createDataFrame([(p,) for p in (1, 2, 3)], "preset int")
-    sizes = spark.createDataFrame([(n,) for n in SIZES], "limit int")
-    ks = spark.createDataFrame([(k,) for k in SWEEP], "k int")
-    ways = spark.createDataFrame([(f"preset{p}", p, "", "") for p in (1, 2, 3)] + [("heap", 0, "heap", "")] + [(f"sort_{s}", 0, "sort", s) for s in ("quick", "std")], "way string, preset int, select string, order_strategy string")
+    presets = _settings(spark, [(p,) for p in (1, 2, 3)], "preset int")
+    sizes = _settings(spark, [(n,) for n in SIZES], "limit int")
+    ks = _settings(spark, [(k,) for k in SWEEP], "k int")
+    ways = _settings(spark, [(f"preset{p}", p, "", "") for p in (1, 2, 3)] + [("heap", 0, "heap", "")] + [(f"sort_{s}", 0, "sort", s) for s in ("quick", "std")], "way string, preset int, select string, order_strategy string")
     size = F.when(F.col("limit") == 0, "full").otherwise(F.concat(F.lit("n"), F.col("limit").cast("string")))
     required = presets.crossJoin(sizes).select(F.concat(F.lit("preset"), F.col("preset").cast("string"), F.lit("_"), size, F.lit("_k5")).alias("name"), "preset", F.lit("").alias("select"), F.lit("").alias("order_strategy"), F.lit(5).alias("k"), "limit")
     swept = ways.crossJoin(ks).select(F.concat("way", F.lit("_full_k"), F.col("k").cast("string")).alias("name"), "preset", "select", "order_strategy", "k", F.lit(0).alias("limit"))
@@ -32,8 +37,8 @@ def scenario_matrix(spark: SparkSession) -> DataFrame:
 
 def graph_scenarios(spark: SparkSession) -> DataFrame:
     """(name, preset, k, limit, repetitions, expand, hops, budget, plan): each way through the graph by size."""
-    ways = spark.createDataFrame([("base", "", False), ("bfs", "bfs", False), ("dijkstra", "dijkstra", False), ("plan", "", True)], "way string, expand string, plan boolean")
-    sizes = spark.createDataFrame([(n,) for n in SIZES], "limit int")
+    ways = _settings(spark, [("base", "", False), ("bfs", "bfs", False), ("dijkstra", "dijkstra", False), ("plan", "", True)], "way string, expand string, plan boolean")
+    sizes = _settings(spark, [(n,) for n in SIZES], "limit int")
     size = F.when(F.col("limit") == 0, "full").otherwise(F.concat(F.lit("n"), F.col("limit").cast("string")))
     return ways.crossJoin(sizes).select(F.concat_ws("_", F.lit("grafo"), "way", size).alias("name"), F.lit(2).alias("preset"), F.lit(5).alias("k"), "limit", F.lit(GRAPH_REPETITIONS).alias("repetitions"), "expand", F.lit(3).alias("hops"), F.lit(3.0).alias("budget"), "plan")
 

@@ -9,15 +9,14 @@ the k best of each query, or its number of candidates. A chunk, not a partition,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Shared
 from .corpus import FIELDS
 
 _HIT = pa.schema([("qid", pa.string()), ("doc_pos", pa.int64()), ("id", pa.string()), ("len", pa.int64()), ("score", pa.float64())])
@@ -37,11 +36,6 @@ class Queries:
         self.rows = [(q, [number[t] for t in ts if t in number]) for q, ts in rows]
 
 
-@lru_cache(maxsize=1)
-def _queries(number: int, held: Broadcast) -> Queries:
-    return Queries(*held.value)
-
-
 class Chunk:
     """Documents with their postings by term and field."""
 
@@ -104,9 +98,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _run(held: Broadcast, k: int | None):
+def _run(held: Shared, k: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = _queries(id(held), held)
+        queries = held.get()
         for batch in _chunks(batches):
             chunk = Chunk(batch, queries)
             names, sizes, docs, scores = [], [], [], []
@@ -135,7 +129,7 @@ def score_batch(index: DataFrame, queries: list[tuple[str, list[str]]], idf: dic
 
     Without k (qid, candidates): in each chunk, how many documents score. Queries and IDF are sent to every executor.
     """
-    held = index.sparkSession.sparkContext.broadcast((queries, idf))
+    held = Shared(index.sparkSession, (queries, idf), lambda v: Queries(*v))
 
     def weight(tfs, field: int):
         tf = F.get(F.filter(tfs, lambda x: x["fpos"] == field), F.lit(0))["tf"]

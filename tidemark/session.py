@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -73,3 +75,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     _checkpoint_folder(spark)
     base = sc._jsc.sc().getCheckpointDir().get()
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
+
+
+class Shared:
+    """A value of checked size that is sent to every executor, and what a worker makes of it, once for all its tasks."""
+
+    _made: ClassVar[dict[str, object]] = {}
+
+    def __init__(self, spark: SparkSession, value: object, make: Callable[[object], object]):
+        self.name, self.held, self.make = uuid.uuid4().hex, spark.sparkContext.broadcast(value), make
+
+    def get(self) -> object:
+        if self.name not in Shared._made:
+            Shared._made.clear()
+            Shared._made[self.name] = self.make(self.held.value)
+        return Shared._made[self.name]
