@@ -25,10 +25,10 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Shared
 from .lookalike import consistent, latin_alone, to_latin
 
 _WORD = re.compile(r"[^\W_]+")
@@ -161,11 +161,6 @@ class Items:
             yield key, _seeded(ids, self.seeds[key], self.seed, hashes)
 
 
-@lru_cache(maxsize=1)
-def _items(number: int, held: object, seed: int) -> Items:
-    return Items(held.value, seed)
-
-
 def _report(doc: int, ids: list[int], item: int, own: list[int], least: int) -> tuple:
     tiles = tile(own, ids, least)
     return doc, item, max((n for *_, n in tiles), default=0), len(tiles), sum(n for *_, n in tiles), len(own)
@@ -175,9 +170,9 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAK)], schema=_LEAK)
 
 
-def _scan(held: Broadcast, seed: int):
+def _scan(held: Shared, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(id(held), held, seed)
+        items = held.get()
         for b in batches:
             out = [_report(doc, ids, k, items.ids[k], seed) for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()) for k, ids in items.matches(text)]
             if out:
@@ -223,7 +218,7 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     e = items.select(F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null")
     chars = e.agg(F.coalesce(F.sum(F.char_length("item_text") + 64), F.lit(0))).first()[0]
     if chars <= most_item_chars:
-        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in e.collect()])
+        held = Shared(docs.sparkSession, [tuple(r) for r in e.collect()], lambda rows: Items(rows, seed))
         out = d.mapInArrow(_scan(held, seed), _LEAK_DDL)
     else:
         of_doc, of_item = (x.select(F.col(k).alias("key"), F.col(t).alias("text")).mapInArrow(_seeds(seed), "key bigint, seed bigint") for x, k, t in ((d, "doc", "text"), (e, "item", "item_text")))

@@ -19,15 +19,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, checkpoint
+from ..session import BROADCAST_ROWS, Shared, checkpoint
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting of texts before byte pairs are merged, as published with this vocabulary.
@@ -39,19 +37,18 @@ BITS, STEP = 60, 12
 MOST_VOCABULARY = 64 << 20
 
 
-@lru_cache(maxsize=2)
-def _encoding(number: int, vocabulary: Broadcast):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(vocabulary: Broadcast):
+def _count(vocabulary: Shared):
     schema = pa.schema([("key", pa.int64()), ("source", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(id(vocabulary), vocabulary)
+        encoding = vocabulary.get()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source").cast(pa.string()), pa.array([len(encoding.encode_ordinary(t)) for t in b.column("text").to_pylist()], pa.int64())], schema=schema)
 
@@ -68,7 +65,7 @@ def token_counts(df: DataFrame, key: str, source: str, text: str, tokenizer: str
     if len(vocabulary) > MOST_VOCABULARY:
         raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes")
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where("key is not null and source is not null and text is not null")
-    counted = rows.mapInArrow(_count(df.sparkSession.sparkContext.broadcast(vocabulary)), "key bigint, source string, tokens bigint")
+    counted = rows.mapInArrow(_count(Shared(df.sparkSession, vocabulary, _encoding)), "key bigint, source string, tokens bigint")
     return counted.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - BITS))
 
 
