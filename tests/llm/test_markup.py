@@ -76,3 +76,26 @@ def test_empty_table_and_nulls(spark):
     got = {(r.key, r.clean, r.pieces) for r in clean_markup(rows, "id", ["value"]).collect()}
     assert got == {(1, None, 0), (None, "a", 1)}
     assert clean_markup(rows.limit(0), "id", ["value", "clean"]).count() == 0
+
+
+def test_long_values_take_time_in_proportion():
+    """Openings that nothing ends used to be followed to the end of the value, each of them."""
+    import time
+
+    started = time.time()
+    for text in ("<a:b> " * 100_000, "<pre>x " * 100_000, "{{code|x " * 50_000, "\\begin{verbatim} " * 50_000, "**a " * 30_000, "_a " * 30_000, "<ul>" * 50_000 + "<li>x", " " * 200_000 + "x"):
+        clean(text)
+    assert time.time() - started < 20
+
+
+def test_ends_looked_for_first_change_nothing(monkeypatch):
+    import random
+
+    from tidemark.llm import markup
+
+    rng = random.Random(5)
+    bits = ["**a", "b**", " *c", "d*", "__e", "f__", "_g", "h_", "~~i", "j~~", "`k", "l`", " ", "word", "''x''", "[a](b)", "\n", "* "]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(2000)]
+    plain = [clean(t) for t in texts]
+    monkeypatch.setattr(markup, "LONG", -1)
+    assert [clean(t) for t in texts] == plain

@@ -42,13 +42,26 @@ _TAG = re.compile(rf"<(/?)({_TAG_NAMES})((?:{_ATTR})*(?:{_BARE_ATTR})*(?:{_ATTR}
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n`]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)|```(?:[a-z]+\s)?(.+?)```", re.S | re.M)
-_PRE = re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>|<code\b[^<>]*>(.*?)</code>|<source\b[^<>]*>(.*?)</source>|<syntaxhighlight\b[^<>]*>(.*?)</syntaxhighlight>", re.S | re.I)
-_WIKI_CODE = re.compile(r"\{\{code\|(.*?)\}\}", re.S | re.I)
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(?:\{[^}]*\})?\n?(.*?)\\end\{\1\}", re.S)
-_MATH_BLOCK = re.compile(r"\$\$(?=\S|\s)(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{(equation|align|gather|math|displaymath)(\*?)\}(.+?)\\end\{\3\4\}|<math\b[^<>]*>(.+?)</math>|\{\{math\|(.+?)\}\}", re.S)
+#: Code, formulas and scripts by notation, kind and pattern, with what ends them.
+_PRE = re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>", re.S | re.I)
+_BLOCKS = [
+    ("html", "code", _PRE, "</pre>"),
+    ("html", "code", re.compile(r"<code\b[^<>]*>(.*?)</code>", re.S | re.I), "</code>"),
+    ("html", "code", re.compile(r"<source\b[^<>]*>(.*?)</source>", re.S | re.I), "</source>"),
+    ("html", "code", re.compile(r"<syntaxhighlight\b[^<>]*>(.*?)</syntaxhighlight>", re.S | re.I), "</syntaxhighlight>"),
+    ("latex", "code", re.compile(r"\\begin\{verbatim\}\n?(.*?)\\end\{verbatim\}", re.S), "\\end{verbatim}"),
+    ("latex", "code", re.compile(r"\\begin\{lstlisting\}(?:\[[^\]]*\])?\n?(.*?)\\end\{lstlisting\}", re.S), "\\end{lstlisting}"),
+    ("latex", "code", re.compile(r"\\begin\{minted\}(?:\[[^\]]*\])?(?:\{[^}]*\})?\n?(.*?)\\end\{minted\}", re.S), "\\end{minted}"),
+    ("wiki", "inline code", re.compile(r"\{\{code\|(.*?)\}\}", re.S | re.I), "}}"),
+    ("latex", "math", re.compile(r"\$\$(.+?)\$\$", re.S), "$$"),
+    ("latex", "math", re.compile(r"\\\[(.+?)\\\]", re.S), "\\]"),
+    *[("latex", "math", re.compile(r"\\begin\{%s\}(.+?)\\end\{%s\}" % (re.escape(n), re.escape(n)), re.S), f"\\end{{{n}}}") for e in ("equation", "align", "gather", "math", "displaymath") for n in (e, e + "*")],
+    ("latex", "math", re.compile(r"<math\b[^<>]*>(.+?)</math>", re.S | re.I), "</math>"),
+    ("latex", "math", re.compile(r"\{\{math\|(.+?)\}\}", re.S), "}}"),
+]
 _MATH_INLINE = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\$])\$(?![\w$])|\\\((.+?)\\\)")
 _MATH_LIKE = re.compile(r"\\[A-Za-z]{2,}|[_^]\{|[A-Za-z0-9)]\s*[\^_=<>+/*-]\s*[A-Za-z0-9\\({]|^[A-Za-z]$")
-_SCRIPT = re.compile(r"<(script|style)\b[^<>]*>.*?</\1>", re.S | re.I)
+_SCRIPTS = [(re.compile(rf"<{n}\b[^<>]*>.*?</{n}>", re.S | re.I), f"</{n}>") for n in ("script", "style")]
 
 _INLINE = [
     ("markdown", re.compile(r"!?(?<![\w\]])\[((?:[^\[\]\n]|\[[^\[\]\n]*\])*)\]\(\s*<?(?:[^\s()<>]|\([^\s()]*\))*>?(?:\s+\"[^\"\n]*\")?\s*\)"), 1),
@@ -66,6 +79,9 @@ _INLINE = [
     ("markdown", re.compile(r"(?<![\w\\./{<$-])_(?=[^\W_])([^_\n]*[^\W_][.!?]?)_(?![\w/}>-])"), 1),
     ("markdown", re.compile(r"(?<!~)~~(?=[^\s~])([^~\n]+?)(?<=[^\s~])~~(?!~)"), 1),
 ]
+#: What ends the paired marks; in lines longer than LONG it is looked for first, with the same result.
+LONG = 2_000
+_ENDS = {p: re.compile(e) for (_, p, _), e in zip(_INLINE[-6:], (r"(?<=[^\n])`(?![\w`])", r"(?<=[^\s*])\*\*\*?(?![\w*])", r"(?<=[\w.,!?)\"'\]~_`])\*(?![\w*/.])", r"(?<=[^\s_])__(?![\w(/])", r"(?<=[^\W_])[.!?]?_(?![\w/}>-])", r"(?<=[^\s~])~~(?!~)"))}
 _LATEX = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|\\href\{[^{}\n]*\}\{([^{}\n]*)\}|\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])*\{([^{}\n]*)\}" + rf"|\\(?:{'|'.join(BARE_COMMANDS.split())})\b(?:\[[^\]\n]*\])?[ \t]?")
 
 _HEADING = [re.compile(r"^ {0,3}#{1,6}[ \t]+(\S.*?)[ \t]*#*[ \t]*$"), re.compile(r"^(={1,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*\1[ \t]*$"), re.compile(r"^\\(?:chapter|section|subsection|subsubsection|paragraph|part)\*?\{(.*?)\}[ \t]*$"), re.compile(r"^[ \t]*<h[1-6]\b[^<>]*>(.*?)(?:</h[1-6]>.*)?$", re.I)]
@@ -84,7 +100,7 @@ WINDOW, SHARE = 3, 0.25
 _STRUCTURE = re.compile(r"<(/?)(ul|ol|li|tr|td|th|h[1-6])\b((?:%s)*(?:%s)*(?:%s)*)\s*/?>" % (_ATTR, _BARE_ATTR, _ATTR), re.I)
 _SECTION = re.compile(r"[ \t]*(\\(?:chapter|section|subsection|subsubsection|paragraph|part)\*?\{[^{}\n]*\})[ \t]*")
 #: Elements of other vocabularies count only with their end.
-_CUSTOM = re.compile(r"<([A-Za-z]\w*[:-][\w:.-]*)(?:%s)*\s*>(.*?)</\1\s*>|<[A-Za-z]\w*[:-][\w:.-]*(?:%s)*\s*/>" % (_ATTR, _ATTR), re.S)
+_CUSTOM = re.compile(r"<(/?)([A-Za-z]\w*[:-][\w:.-]*)(?:%s)*\s*(/?)>" % _ATTR)
 _SENTENCE_END = re.compile(r"[.!?:;…][\"'”»)\]]*$")
 
 
@@ -93,6 +109,11 @@ def _hold_pattern(code: str, math: str, end: str) -> re.Pattern:
     return re.compile(f"[{code}{math}](\\d+){end}")
 
 
+def _is_row_rule(line: str) -> bool:
+    bare = line.strip(" \t")
+    return bare[:1] in ("|", ":", "-") and not bare.strip("|:- \t") and _ROW_RULE.match(bare) is not None
+
+
 def _marks(text: str) -> tuple[str, ...]:
     """Five characters for private use that the text hasn't."""
     return tuple(islice((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))) if c not in text), 5))
@@ -120,8 +141,7 @@ class _Cleaner:
 
     def hold(self, kind: str, mark: str, unescape: bool = False, block: bool = True):
         def put(m: re.Match) -> str:
-            got = [g for g in m.groups()[(1 if m.re in (_VERBATIM,) else 0) :] if g is not None and not (m.re is _FENCE and g[:3] in ("```", "~~~")) and not (m.re is _MATH_BLOCK and g in ("equation", "align", "gather", "math", "displaymath", "*", ""))]
-            body = max(got, key=len) if got else ""
+            body = next((g for g in reversed(m.groups()) if g is not None), "")
             if m.re is _MATH_INLINE and not _MATH_LIKE.search(body):
                 return m[0]
             self.note(kind)
@@ -132,6 +152,31 @@ class _Cleaner:
 
         return put
 
+    def paired(self, pattern: re.Pattern, end: str, s: str, put) -> str:
+        """The pattern's matches replaced, none of which is looked for after the last ``end``: openings without one cost nothing."""
+        last = s.rfind(end) if end == end.upper() else max(s.rfind(end), s.lower().rfind(end) if len(s.lower()) == len(s) else s.rfind(end.upper()))
+        return s if last < 0 else pattern.sub(put, s[: last + len(end)]) + s[last + len(end) :]
+
+    def custom(self, s: str) -> str:
+        """Without the elements of other vocabularies that are ended, by their tags in pairs."""
+        open_now: dict[str, list[tuple[int, int]]] = {}
+        cut = []
+        for m in _CUSTOM.finditer(s):
+            if m[3]:
+                cut.append(m.span())
+            elif not m[1]:
+                open_now.setdefault(m[2], []).append(m.span())
+            elif open_now.get(m[2]):
+                cut += [open_now[m[2]].pop(), m.span()]
+        if not cut:
+            return s
+        self.note("html", len(cut))
+        at, out = 0, []
+        for a, z in sorted(cut):
+            out.append(s[at:a])
+            at = z
+        return "".join([*out, s[at:]])
+
     def inline(self, s: str) -> str:
         def tag(m: re.Match) -> str:
             if not _tag_ok(m):
@@ -139,15 +184,9 @@ class _Cleaner:
             self.note("html")
             return "\n" if m[2].lower() in ("br", "p", "div", "li", "tr", "ul", "ol", "table", "hr") else " " if m[2].lower() in ("td", "th") else ""
 
-        def custom(m: re.Match) -> str:
-            self.note("html")
-            return m[2] or ""
-
         s = _TAG.sub(tag, s)
-        while "<" in s:
-            s, n = _CUSTOM.subn(custom, s)
-            if not n:
-                break
+        if "<" in s:
+            s = self.custom(s)
         for kind, pattern, group in _INLINE:
             while True:  # nested marks
 
@@ -155,7 +194,11 @@ class _Cleaner:
                     self.note(kind)
                     return "" if not group else next((g for g in m.groups()[group - 1 :] if g is not None), "")
 
-                s, n = pattern.subn(plain, s)
+                end = len(s)
+                if end > LONG and pattern in _ENDS:  # no opening can be closed after the last end
+                    end = max((m.end() for m in _ENDS[pattern].finditer(s)), default=0)
+                done, n = pattern.subn(plain, s[:end])
+                s = done + s[end:]
                 if not n:
                     break
         while True:
@@ -190,7 +233,7 @@ class _Cleaner:
                 depth = max(0, depth - 1) if closing else depth + 1
                 return "\n" if closing and not depth else ""
             if name == "li":
-                return "" if closing else "\n" + "  " * max(0, depth - 1) + self.item
+                return "" if closing else f"\n{self.item}{max(0, depth - 1)}{self.end}"
             if name == "tr":
                 return "" if closing else "\n" + self.row
             return "" if closing else "\t"
@@ -204,15 +247,15 @@ class _Cleaner:
     def lines(self, text: str) -> list[tuple[str, str, int, float, int]]:
         """(kind, stripped line, length of its text, length before, depth); a line that was all markup has no text."""
         raw, out, i = self.structured(text).split("\n"), [], 0
-        table = any(_ROW_RULE.match(x) for x in raw) or any(x.lstrip().startswith("{|") for x in raw)
+        table = any(_is_row_rule(x) for x in raw) or any(x.lstrip().startswith("{|") for x in raw)
         while i < len(raw):
             line, kind, body, depth = raw[i], "text", None, 0
             whole = len(line.strip())
-            bare = line.lstrip(" ")
-            if bare[:1] == self.item:
-                kind, body, depth = "item", bare[1:], (len(line) - len(bare)) // 2
-            elif bare[:1] == self.row:
-                kind, body = "row", bare[1:].strip("\t")
+            if line[:1] == self.item:
+                told, body = line[1:].split(self.end, 1)
+                kind, depth = "item", int(told)
+            elif line[:1] == self.row:
+                kind, body = "row", line[1:].strip("\t")
             elif _QUOTE.match(line):
                 self.note("markdown")
                 line = _QUOTE.sub("", line)
@@ -227,7 +270,7 @@ class _Cleaner:
             elif _RULE.match(line) or _UNDERLINE.match(line):
                 self.note("markdown")
                 body = ""
-            elif table and (_ROW_RULE.match(line) or _WIKI_TABLE.match(line)):
+            elif table and (_is_row_rule(line) or _WIKI_TABLE.match(line)):
                 self.note("wiki" if line.lstrip()[:2] in ("{|", "|-", "|}", "|+") and "--" not in line else "markdown")
                 body = ""
             elif table and (m := _ROW.match(line) or _WIKI_CELL.match(line)):
@@ -283,15 +326,15 @@ def clean(text: str | None) -> tuple[str | None, list[dict], dict[str, int]]:
     s = text.replace("\r\n", "\n")
     c = _Cleaner(s)
     s = _FENCE.sub(c.hold("markdown", c.code), s)
-    s = _PRE.sub(c.hold("html", c.code, unescape=True), s)
-    s = _VERBATIM.sub(c.hold("latex", c.code), s)
-    s = _WIKI_CODE.sub(c.hold("wiki", c.code, block=False), s)
-    s = _MATH_BLOCK.sub(c.hold("latex", c.math), s)
+    for kind, what, pattern, end in _BLOCKS:
+        if end in s or end.isalpha() or "<" in end:
+            s = c.paired(pattern, end, s, c.hold(kind, c.math if what == "math" else c.code, unescape=kind == "html", block=what != "inline code"))
     s = _MATH_INLINE.sub(c.hold("latex", c.math, block=False), s)
-    for pattern in (_COMMENT, _SCRIPT):
-        s, n = pattern.subn(" ", s)
-        if n:
-            c.note("html", n)
+    s, n = _COMMENT.subn(" ", s)
+    if n:
+        c.note("html", n)
+    for pattern, end in _SCRIPTS:
+        s = c.paired(pattern, end, s, lambda m: c.note("html") or " ")
     lines = c.lines(s)
     if not c.kinds:
         return text, [{"kind": "text", "text": text, "depth": 0}] if text.strip() else [], {}
