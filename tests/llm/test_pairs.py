@@ -125,3 +125,12 @@ def test_empty_tables_nulls_and_clashing_names(spark):
     got = {tuple(r) for r in pairs.broken_pairs(rows, "record", "asked", "answer", catalogue).collect()}
     assert got == {(1, "empty"), (2, "invented"), (3, "empty")}
     assert pairs.broken_pairs(rows.limit(0), "record", "asked", "answer", catalogue).count() == 0
+
+
+def test_long_answers_take_time_in_proportion():
+    import time
+
+    started = time.time()
+    for text in ("curl -X GET " * 50_000, "curl " * 100_000, "- item\n" * 100_000, "GET /a " * 100_000, "a: " * 100_000):
+        pairs._read_pair(1, "How do I list it?", text)
+    assert time.time() - started < 20

@@ -140,12 +140,16 @@ def calls_in(answer: str) -> list[tuple[str, str]]:
     """(METHOD, path) of every call written in the answer, first occurrence first."""
     found = [(m[1].upper(), m[2]) for m in _PLAIN_CALL.finditer(answer)]
     for c in _CURL.finditer(answer):
-        command = ""
+        method = url = None
         for part in _CURL_START.split(c[0]):  # a line may hold several commands, and a body the word
-            command = part if _CURL_METHOD.search(part) and _CURL_URL.search(part) else command + part
-            if (m := _CURL_METHOD.search(command)) and (u := _CURL_URL.search(command)):
-                found.append((m[1].upper(), u[1]))
-                command = ""
+            m, u = _CURL_METHOD.search(part), _CURL_URL.search(part)
+            if m and u:
+                method, url = m, u
+            else:
+                method, url = method or m, url or u
+            if method and url:
+                found.append((method[1].upper(), url[1]))
+                method = url = None
     return list(dict.fromkeys((m, re.split(r"[?#]", p)[0].rstrip(".,;:!").strip("/")) for m, p in found))
 
 
@@ -187,10 +191,12 @@ def mask(line: str) -> str:
 def list_lines(answer: str) -> list[tuple[str, bool]]:
     """(template, closes) of the list lines outside code: whether the line ends its list for certain."""
     lines = _FENCED.sub("\n\u0000\n", answer).rstrip().split("\n")
-    out = []
-    for i, line in enumerate(lines):
+    out, following, rests = [], None, []
+    for line in reversed(lines):
+        rests.append(following)
+        following = line if line.strip() else following
+    for line, rest in zip(lines, reversed(rests)):
         if _ITEM.match(line):
-            rest = next((x for x in lines[i + 1 :] if x.strip()), None)
             if rest is not None:
                 out.append((mask(line), not _ITEM.match(rest)))
             elif line.rstrip().endswith((".", "!", "?")):
