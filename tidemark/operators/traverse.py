@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .graph import DEPENDS_ON, OPERATION, Graph
+from .graph import DEPENDS_ON, OPERATION, Graph, vertex_of_id
 
 HOPS, BUDGET, RELATED = 3, 3.0, 10
 
@@ -81,18 +81,12 @@ def call_plans(graph: Graph, hits: DataFrame) -> DataFrame:
     needs = graph.edges.where(F.col("kind") == DEPENDS_ON).where("src != dst").select(F.col("src").alias("op"), F.col("dst").alias("vertex")).distinct()
     before = needs.join(known, "vertex").groupBy("op").agg(F.array_sort(F.collect_list(F.struct("vertex", "step"))).alias("before"), F.sum("degree").alias("more"))
     own = known.withColumnsRenamed({"vertex": "op", "degree": "own", "step": "id"}).join(before, "op", "left")
-    first = hits.select("qid", "rank", "id").join(_first(graph), "id").withColumnRenamed("vertex", "op")
+    first = hits.select("qid", "rank", "id").join(vertex_of_id(graph.vertices), "id").withColumnRenamed("vertex", "op")
     rows = first.join(own.drop("id"), "op")
     none = F.array().cast("array<string>")
     return rows.select("qid", "rank", "id", F.concat(F.coalesce(F.col("before.step"), none), F.array("id")).alias("steps"), (F.col("own") + F.coalesce("more", F.lit(0))).alias("scanned"))
 
 
-def _first(graph: Graph) -> DataFrame:
-    from .graph import vertex_of_id
-
-    return vertex_of_id(graph.vertices)
-
-
 def needing(plans: DataFrame) -> DataFrame:
     """The plans with a prerequisite."""
     return plans.where(F.size("steps") > 1)

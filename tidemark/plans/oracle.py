@@ -7,9 +7,9 @@ plain versions.
 
 from __future__ import annotations
 
-from ..functions.calls import METHODS, PLAIN, SHOWN, _curl, HOST
-from ..operators.render import NO_TERMS, PLANS_HEAD, RELATED_HEAD
+from ..functions.calls import HOST, PLAIN, SHOWN, _curl
 from ..functions.text import IN_ENGLISH, IN_PORTUGUESE, PORTUGUESE, PORTUGUESE_LETTERS, STOPWORDS
+from ..operators.render import NO_TERMS, PLANS_HEAD, RELATED_HEAD
 
 SP = r"[\t\n\f\r ]"
 ANY = "[\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -91,22 +91,24 @@ allv AS (SELECT segs, 0 AS kind, '' AS method, NULL::VARCHAR AS id, NULL::BIGINT
 v AS (SELECT row_number() OVER (ORDER BY segs, kind, method) - 1 AS vertex, kind, method, segs, id, doc_pos,
   CASE WHEN kind = 0 THEN '' ELSE method || ' ' END || '/' || array_to_string(segs, '/') AS label FROM allv),
 byid AS (SELECT id, min(vertex) AS vertex FROM v WHERE kind = 1 AND id IS NOT NULL GROUP BY id),
-tree AS (SELECT p.vertex AS p, k.vertex AS k, k.kind AS what FROM v p JOIN v k ON p.kind = 0 AND ((k.kind = 0 AND len(k.segs) > 0 AND k.segs[1:len(k.segs) - 1] = p.segs) OR (k.kind = 1 AND k.segs = p.segs))),
+tree AS (SELECT p.vertex AS p, k.vertex AS k, 0 AS what FROM (SELECT vertex, segs[1:len(segs) - 1] AS up FROM v WHERE kind = 0 AND len(segs) > 0) k JOIN v p ON p.kind = 0 AND p.segs = k.up
+  UNION ALL SELECT p.vertex, k.vertex, 1 FROM v k JOIN v p ON k.kind = 1 AND p.kind = 0 AND p.segs = k.segs),
 need AS (SELECT vertex, segs, unnest(range(1, len(segs) + 1)) AS i FROM v WHERE kind = 1),
 dep AS (SELECT need.vertex AS src, b.vertex AS dst FROM need JOIN v g ON g.kind = 1 AND g.method = 'GET' AND g.segs = need.segs[1:need.i - 1] JOIN byid b ON b.id = g.id
   WHERE starts_with(need.segs[need.i], '{{') AND ends_with(need.segs[need.i], '_id}}')),
 e AS (SELECT p AS src, k AS dst, CASE what WHEN 0 THEN 0 ELSE 2 END AS kind, CASE what WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM tree
   UNION ALL SELECT k, p, CASE what WHEN 0 THEN 1 ELSE 3 END, CASE what WHEN 0 THEN 1.0 ELSE 0.5 END FROM tree UNION ALL SELECT src, dst, 4, 1.0 FROM dep)"""
-# the join of parents and children as two equi-joins
-GRAPH = GRAPH.replace(
-    GRAPH[GRAPH.index("tree AS") : GRAPH.index("need AS")],
-    """tree AS (SELECT p.vertex AS p, k.vertex AS k, 0 AS what FROM (SELECT vertex, segs[1:len(segs) - 1] AS up FROM v WHERE kind = 0 AND len(segs) > 0) k JOIN v p ON p.kind = 0 AND p.segs = k.up
-  UNION ALL SELECT p.vertex, k.vertex, 1 FROM v k JOIN v p ON k.kind = 1 AND p.kind = 0 AND p.segs = k.segs),
-""",
-)
 SEEDS = "sd AS (SELECT h.qid, b.vertex, min(h.rank) AS rank FROM h JOIN byid b USING (id) GROUP BY ALL)"
-BFS = "w(qid, vertex, depth) AS (SELECT qid, vertex, 0 FROM sd UNION SELECT w.qid, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.vertex WHERE w.depth < 3 AND e.kind <> 4),\nreached AS (SELECT qid, vertex, min(depth)::BIGINT AS hops, min(depth)::DOUBLE AS cost FROM w GROUP BY ALL)"
-DIJKSTRA = BFS.replace("w(qid, vertex, depth)", "w(qid, vertex, depth, cost)").replace("SELECT qid, vertex, 0 FROM sd", "SELECT qid, vertex, 0, 0.0::DOUBLE FROM sd").replace("w.depth + 1 FROM", "w.depth + 1, w.cost + e.weight FROM").replace("w.depth < 3", "w.cost + e.weight <= 3").replace("min(depth)::DOUBLE AS cost", "min(cost) AS cost")
+
+
+def walked(dijkstra: bool = False, w: str = "w", reached: str = "reached") -> str:
+    """CTEs: every way from the seeds within 3 steps, or a cost of 3, and what is reached."""
+    bound = "cost + e.weight <= 3" if dijkstra else "hops < 3"
+    return f"""{w}(qid, vertex, hops, cost) AS (SELECT qid, vertex, 0, 0.0::DOUBLE FROM sd UNION SELECT {w}.qid, e.dst, {w}.hops + 1, {w}.cost + {'e.weight' if dijkstra else '1'} FROM {w} JOIN e ON e.src = {w}.vertex WHERE {w}.{bound} AND e.kind <> 4),
+{reached} AS (SELECT qid, vertex, min(hops)::BIGINT AS hops, min(cost) AS cost FROM {w} GROUP BY ALL)"""
+
+
+BFS, DIJKSTRA = walked(), walked(True)
 DEGREE = "dg AS (SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src)"
 RELATED = "rel AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cost, id, vertex) AS pos FROM (SELECT x.*, v.id FROM reached x JOIN v USING (vertex) WHERE v.kind = 1 AND (x.qid, x.vertex) NOT IN (SELECT qid, vertex FROM sd)))"
 STEPS = f"""{DEGREE},
@@ -279,7 +281,7 @@ SELECT x.qid, method, path, max(rank) AS rank, max(score) AS score, max(hops) AS
     "depends_on_edges": f"WITH {GRAPH} SELECT a.label AS operation, b.label AS needs FROM dep JOIN v a ON a.vertex = dep.src JOIN v b ON b.vertex = dep.dst",
     "expand_bfs_h3": f"WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {BFS}, {RELATED} SELECT qid, pos, id, cost, hops FROM rel WHERE pos <= 10",
     "expand_dijkstra_b3": f"WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {DIJKSTRA}, {RELATED} SELECT qid, pos, id, cost, hops FROM rel WHERE pos <= 10",
-    "expand_stats": f"WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {BFS}, {DIJKSTRA.replace('w(', 'w2(').replace(' w.', ' w2.').replace('w.cost + e.weight <=', 'w2.cost + e.weight <=').replace('FROM w ', 'FROM w2 ').replace('SELECT w.', 'SELECT w2.').replace('= w.', '= w2.').replace('reached AS', 'reached2 AS')}, {DEGREE}"
+    "expand_stats": f"WITH RECURSIVE {hits()}, {GRAPH}, {SEEDS}, {BFS}, {walked(True, 'w2', 'reached2')}, {DEGREE}"
     " SELECT qid, 'bfs' AS method, count(*) AS visited, coalesce(sum(degree) FILTER (cost < 3), 0)::BIGINT AS scanned FROM reached LEFT JOIN dg USING (vertex) GROUP BY qid UNION ALL SELECT qid, 'dijkstra', count(*), coalesce(sum(degree), 0)::BIGINT FROM reached2 LEFT JOIN dg USING (vertex) GROUP BY qid",
     "call_plans": f"WITH {hits()}, {GRAPH}, {STEPS} SELECT qid, rank, array_to_string(steps, ' ') AS steps, scanned FROM plan",
     "plans_with_prereqs": f"WITH {hits()}, {GRAPH}, {STEPS} SELECT qid, rank, array_to_string(steps, ' ') AS steps FROM plan WHERE len(steps) > 1",

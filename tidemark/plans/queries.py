@@ -15,7 +15,7 @@ from ..functions.calls import answer_calls, answered_endpoint, match_calls
 from ..functions.text import clean_query, clean_text, is_looping, language_order, path_words, tokens, truncate, word_count
 from ..operators import corpus, evaluate, graph, render, reports, traverse
 from ..operators.nested import body_fields, enclose, label_nodes, node_table
-from ..operators.search import Engine, Options, with_context
+from ..operators.search import Engine, Options, ranked, with_context
 from ..session import checkpoint, table
 from ..sources.files import csv_line, manifest
 from ..sources.logs import duration, parse_runs, trimmed
@@ -147,8 +147,6 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_linear(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.search import ranked
-
     return _shown(ranked(Engine(_docs(spark, d)).scan(STATED), 10, RANKED))
 
 
