@@ -25,7 +25,6 @@ import html
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
