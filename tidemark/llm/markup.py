@@ -82,6 +82,8 @@ _INLINE = [
 #: What ends the paired marks; in lines longer than LONG it is looked for first, with the same result.
 LONG = 2_000
 _ENDS = {p: re.compile(e) for (_, p, _), e in zip(_INLINE[-6:], (r"(?<=[^\n])`(?![\w`])", r"(?<=[^\s*])\*\*\*?(?![\w*])", r"(?<=[\w.,!?)\"'\]~_`])\*(?![\w*/.])", r"(?<=[^\s_])__(?![\w(/])", r"(?<=[^\W_])[.!?]?_(?![\w/}>-])", r"(?<=[^\s~])~~(?!~)"))}
+#: Every notation within a line has one of these.
+_MARKS = re.compile(r"[<&`*_~\[{\\]|''")
 _LATEX = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|\\href\{[^{}\n]*\}\{([^{}\n]*)\}|\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])*\{([^{}\n]*)\}" + rf"|\\(?:{'|'.join(BARE_COMMANDS.split())})\b(?:\[[^\]\n]*\])?[ \t]?")
 
 _HEADING = [re.compile(r"^ {0,3}#{1,6}[ \t]+(\S.*?)[ \t]*#*[ \t]*$"), re.compile(r"^(={1,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*\1[ \t]*$"), re.compile(r"^\\(?:chapter|section|subsection|subsubsection|paragraph|part)\*?\{(.*?)\}[ \t]*$"), re.compile(r"^[ \t]*<h[1-6]\b[^<>]*>(.*?)(?:</h[1-6]>.*)?$", re.I)]
@@ -154,7 +156,9 @@ class _Cleaner:
 
     def paired(self, pattern: re.Pattern, end: str, s: str, put) -> str:
         """The pattern's matches replaced, none of which is looked for after the last ``end``: openings without one cost nothing."""
-        last = s.rfind(end) if end == end.upper() else max(s.rfind(end), s.lower().rfind(end) if len(s.lower()) == len(s) else s.rfind(end.upper()))
+        last = s.rfind(end)
+        if end[0] == "<":  # names of elements in any case
+            last = max((m.start() for m in re.finditer(re.escape(end), s, re.I)), default=-1)
         return s if last < 0 else pattern.sub(put, s[: last + len(end)]) + s[last + len(end) :]
 
     def custom(self, s: str) -> str:
@@ -178,6 +182,9 @@ class _Cleaner:
         return "".join([*out, s[at:]])
 
     def inline(self, s: str) -> str:
+        if not _MARKS.search(s):
+            return s
+
         def tag(m: re.Match) -> str:
             if not _tag_ok(m):
                 return m[0]
@@ -327,13 +334,13 @@ def clean(text: str | None) -> tuple[str | None, list[dict], dict[str, int]]:
     c = _Cleaner(s)
     s = _FENCE.sub(c.hold("markdown", c.code), s)
     for kind, what, pattern, end in _BLOCKS:
-        if end in s or end.isalpha() or "<" in end:
+        if "</" in s if end[0] == "<" else end in s:
             s = c.paired(pattern, end, s, c.hold(kind, c.math if what == "math" else c.code, unescape=kind == "html", block=what != "inline code"))
     s = _MATH_INLINE.sub(c.hold("latex", c.math, block=False), s)
     s, n = _COMMENT.subn(" ", s)
     if n:
         c.note("html", n)
-    for pattern, end in _SCRIPTS:
+    for pattern, end in _SCRIPTS if "</" in s else ():
         s = c.paired(pattern, end, s, lambda m: c.note("html") or " ")
     lines = c.lines(s)
     if not c.kinds:
