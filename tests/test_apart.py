@@ -62,3 +62,8 @@ def test_merges_are_counted_as_they_are_made():
     for n in (0, 1, 2, 3, 5, 64, 301):
         for given in ([rng.randrange(9) for _ in range(n)], rng.sample(range(n), n), list(range(n)), list(range(n))[::-1]):
             assert selection.merge_count(np.array(given, np.int64)) == selection.merge_sort(list(given))
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_comparisons_topk(docs, queries, hits, no_pairs, few):
+    counts(docs, queries, hits, "topk", "merge", "linear", few)
