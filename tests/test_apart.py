@@ -67,3 +67,8 @@ def test_merges_are_counted_as_they_are_made():
 @pytest.mark.parametrize("few", [0, 12])
 def test_comparisons_topk(docs, queries, hits, no_pairs, few):
     counts(docs, queries, hits, "topk", "merge", "linear", few)
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_comparisons_heapsort(docs, queries, hits, no_pairs, few):
+    counts(docs, queries, hits, "sort", "heap", "linear", few)
