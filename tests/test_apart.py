@@ -77,3 +77,8 @@ def test_comparisons_heapsort(docs, queries, hits, no_pairs, few):
 @pytest.mark.parametrize("few", [0, 12])
 def test_comparisons_quick(docs, queries, hits, no_pairs, few):
     counts(docs, queries, hits, "sort", "quick", "linear", few)
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_comparisons_topk_indexed(docs, queries, hits, no_pairs, few):
+    counts(docs, queries, hits, "topk", "merge", "indexed", few)
