@@ -82,3 +82,8 @@ def test_comparisons_quick(docs, queries, hits, no_pairs, few):
 @pytest.mark.parametrize("few", [0, 12])
 def test_comparisons_topk_indexed(docs, queries, hits, no_pairs, few):
     counts(docs, queries, hits, "topk", "merge", "indexed", few)
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_comparisons_kheap(docs, queries, hits, no_pairs, few):
+    counts(docs, queries, hits, "heap", "merge", "linear", few)
