@@ -87,3 +87,8 @@ def test_comparisons_topk_indexed(docs, queries, hits, no_pairs, few):
 @pytest.mark.parametrize("few", [0, 12])
 def test_comparisons_kheap(docs, queries, hits, no_pairs, few):
     counts(docs, queries, hits, "heap", "merge", "linear", few)
+
+
+@pytest.mark.parametrize("few", [0, 12])
+def test_comparisons_std(docs, queries, hits, no_pairs, few):
+    counts(docs, queries, hits, "sort", "std", "linear", few)
