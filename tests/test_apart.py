@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+from pathlib import Path
+
 import pytest
+from sqlcheck import TABLES, connection, same
 
 from tidemark.operators import search, selection
 from tidemark.operators.search import Engine, Options
+from tidemark.plans import queries as plans
+from tidemark.plans.oracle import ORACLE
 
 SCHEMA = "doc_pos long, id string, method string, path string, summary string, description string, params array<struct<name: string, description: string>>, body array<struct<name: string, description: string>>"
 #: Words of few documents before, between and after the common ones, repeated, alone, and unknown.
@@ -92,3 +98,24 @@ def test_comparisons_kheap(docs, queries, hits, no_pairs, few):
 @pytest.mark.parametrize("few", [0, 12])
 def test_comparisons_std(docs, queries, hits, no_pairs, few):
     counts(docs, queries, hits, "sort", "std", "linear", few)
+
+
+@pytest.mark.parametrize("few,most", [(0, 2), (12, 0), (1000, 0)])
+def test_search_of_many_queries(docs, queries, no_pairs, few, most):
+    found = lambda e: sorted((r.qid, r["rank"], r.doc_pos, r.score) for r in e.search(queries, "qid", "text", k=4).collect())
+    many, one = Engine(docs, most_queries=most, few=few), Engine(docs)
+    assert found(many) == found(one)
+    told = lambda e: sorted((r.qid, r.candidates) for r in e.query_stats(queries, "qid", "text").collect())
+    assert told(many) == told(one)
+
+
+@pytest.fixture()
+def many(monkeypatch, no_pairs):
+    """The registered queries with bounds that their few distinct queries pass."""
+    monkeypatch.setattr(plans, "Engine", partial(Engine, most_queries=50, few=3))
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["eval_summary"])
+def test_many_queries_give_what_sql_gives(spark, many, name):
+    same(spark, connection(), plans.QUERIES[name], ORACLE[name])
