@@ -116,6 +116,6 @@ def many(monkeypatch, no_pairs):
 
 
 @pytest.mark.skipif(not Path(TABLES).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["eval_summary"])
+@pytest.mark.parametrize("name", ["eval_summary", "expand_dijkstra_b3"])
 def test_many_queries_give_what_sql_gives(spark, many, name):
     same(spark, connection(), plans.QUERIES[name], ORACLE[name])

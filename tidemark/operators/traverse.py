@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, release
 from .graph import DEPENDS_ON, OPERATION, Graph, vertex_of_id
 
 HOPS, BUDGET, RELATED = 3, 3.0, 10
@@ -30,20 +30,23 @@ def reach(graph: Graph, hits: DataFrame, *, method: str = "bfs", hops: int = HOP
     """
     v = graph.vertices
     # the hits, k for each query, are looked at twice: they are found once
-    seeds = checkpoint(graph.seeds(hits).select("qid", "vertex").join(v.select("vertex", "segments"), "vertex"))
+    seeds = checkpoint(graph.seeds(hits).select("qid", "vertex"))
+    release(v.sparkSession)
     # steps between resources that the bound leaves after leaving the hit's operation
     dijkstra = method == "dijkstra"
     bound = budget if dijkstra else hops
     most = None if bound < 0 else int(bound - 0.5 if dijkstra else bound - 1)
     steps = lambda n: F.sequence(F.lit(0), n if most is None else F.least(n, F.lit(max(most, 0))))
     shorter = lambda c: F.slice("segments", 1, F.size("segments") - F.col(c))
-    up = seeds.select("qid", "segments", F.explode(steps(F.size("segments"))).alias("up")).select("qid", shorter("up").alias("prefix"), "up")
+    up = seeds.join(v.select("vertex", "segments"), "vertex").select("qid", "segments", F.explode(steps(F.size("segments"))).alias("up")).select("qid", shorter("up").alias("prefix"), "up")
     up = up.groupBy("qid", "prefix").agg(F.min("up").alias("up"))
     # a vertex is reached from its own resource; an operation is one step further
     down = v.select("vertex", "kind", "id", "segments", F.explode(steps(F.size("segments"))).alias("down")).select("vertex", "kind", "id", shorter("down").alias("prefix"), "down")
-    near = up.join(down, "prefix")
-    if most is not None:
-        near = near.where(F.col("up") + F.col("down") <= most)
+    if most is None:
+        near = up.join(down, "prefix")
+    else:  # by the steps down that are left, too: a common prefix far up doesn't meet all that is below it
+        left = F.sequence(F.lit(0), F.lit(max(most, 0)) - F.col("up"))
+        near = up.select("qid", "prefix", "up", F.explode(left).alias("down")).join(down, ["prefix", "down"])
     near = near.groupBy("qid", "vertex").agg(F.first("kind").alias("kind"), F.first("id").alias("id"), F.min(F.col("up") + F.col("down")).alias("way"))
     is_op = F.col("kind") == OPERATION
     near = near.join(seeds.select("qid", "vertex", F.lit(True).alias("hit")), ["qid", "vertex"], "left")
